@@ -11,6 +11,7 @@ from ..functions import naming
 from ..functions import quat as Q
 from ..functions import vec as V
 from ..model import Recon
+from ..session import cut
 from .knn import nearest_neighbor_distances
 from .skew import exact_quantiles, global_rank, self_pairs
 
@@ -89,15 +90,22 @@ def max_viewing_angles(ray_df: DataFrame) -> DataFrame:
     and L the largest angle from the ray found there, both ends of the widest
     pair lie at least L - R from the mean.
     """
-    d = V.vec("dx", "dy", "dz")
+    ray_df = cut(ray_df)
     stats = ray_df.groupBy("point_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("dx").alias("mx"), F.sum("dy").alias("my"), F.sum("dz").alias("mz")
     )
     heavy = stats.filter(F.col("n") > HEAVY_TRACK)
-    light_rays = ray_df.join(heavy.select("point_id"), "point_id", "left_anti")
-    m = V.vec("mx", "my", "mz")
+    if not heavy.isEmpty():
+        ray_df = ray_df.join(heavy.select("point_id"), "point_id", "left_anti").unionByName(_outer_rays(ray_df, heavy))
+    pairs = self_pairs(ray_df, ["point_id"], "image_id")
+    cosine = V.dot(V.vec("a_dx", "a_dy", "a_dz"), V.vec("b_dx", "b_dy", "b_dz"))
+    return pairs.groupBy("point_id").agg(F.acos(V.clamp_cos(F.min(cosine))).alias("max_angle"))
+
+
+def _outer_rays(ray_df: DataFrame, heavy: DataFrame) -> DataFrame:
+    d, m = V.vec("dx", "dy", "dz"), V.vec("mx", "my", "mz")
     off = F.acos(V.clamp_cos(V.dot(d, m) / F.greatest(V.norm(m), F.lit(1e-300))))
-    spread = ray_df.join(heavy.drop("n"), "point_id").withColumn("off", off)
+    spread = cut(ray_df.join(heavy.drop("n"), "point_id").withColumn("off", off))
     rim = spread.groupBy("point_id").agg(
         F.max("off").alias("big_r"), F.max_by(F.struct("dx", "dy", "dz"), F.struct("off", "image_id")).alias("far")
     )
@@ -105,14 +113,11 @@ def max_viewing_angles(ray_df: DataFrame) -> DataFrame:
     reach = spread.join(rim, "point_id").groupBy("point_id").agg(
         F.max("big_r").alias("big_r"), F.max(to_far).alias("low")
     )
-    outer = (
+    return (
         spread.join(reach, "point_id")
-        .filter(F.col("off") >= F.col("low") - F.col("big_r") - 1e-9)
+        .filter(F.col("off") >= F.col("low") - F.col("big_r") - 1e-6)
         .select(*ray_df.columns)
     )
-    pairs = self_pairs(light_rays.unionByName(outer), ["point_id"], "image_id")
-    cosine = V.dot(V.vec("a_dx", "a_dy", "a_dz"), V.vec("b_dx", "b_dy", "b_dz"))
-    return pairs.groupBy("point_id").agg(F.acos(V.clamp_cos(F.min(cosine))).alias("max_angle"))
 
 
 def wide_tracks(points: DataFrame, angles: DataFrame, min_angle: float) -> DataFrame:
