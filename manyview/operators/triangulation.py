@@ -10,13 +10,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vec as V
 
 EIGEN_REL_TOL = 1e-12
 UPPER = (("00", 0, 0), ("01", 0, 1), ("02", 0, 2), ("11", 1, 1), ("12", 1, 2), ("22", 2, 2))
 
-SOLUTION = "px double, py double, pz double, l0 double, l1 double, l2 double, cond double"
+SOLUTION = T.StructType([T.StructField(c, T.DoubleType()) for c in ("px", "py", "pz", "l0", "l1", "l2", "cond")])
 
 
 def _sym(m: list[np.ndarray]) -> np.ndarray:
@@ -68,7 +69,7 @@ def triangulate(rays: DataFrame, key: str = "track") -> DataFrame:
     return solved.join(front, key)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def variance_along(
     a00: pd.Series, a01: pd.Series, a02: pd.Series, a11: pd.Series, a12: pd.Series, a22: pd.Series,
     mx: pd.Series, my: pd.Series, mz: pd.Series,
