@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import matching as M
 from ..operators import merge, pairs
+from ..operators.knn import nearest_in_group
 from . import roles
 from .registry import query, r6
 
@@ -109,17 +110,16 @@ def _d2(a: str, b: str) -> str:
     ),
 )
 def best_candidate_match(spark, sf):
-    q, cand = _listed(spark, sf)
-    m = M.best_candidates(q, cand, threshold=1.2)
+    m = _nearest_next_image(spark, sf).filter(F.col("d2") <= 1.0)
     return m.select("qid", "cid", r6("d2", "d2"))
 
 
-def _listed(spark, sf):
+def _nearest_next_image(spark, sf):
+    """Best match of every descriptor in the following image."""
     c = roles.corpus(spark, sf)
-    q = c.select(F.col("row_id").alias("qid"), "image_id", "descriptor")
-    t = c.select(((F.col("image_id") + 9) % 10).alias("image_id"), F.col("row_id").alias("cid"), "descriptor")
-    listed = q.select("qid", "image_id").join(t, "image_id").select("qid", F.col("cid").alias("ord"), "cid", "descriptor")
-    return q, listed
+    q = c.select(F.col("image_id").alias("pair"), F.col("row_id").alias("qid"), F.col("descriptor").alias("vec"))
+    t = c.select(((F.col("image_id") + 9) % 10).alias("pair"), F.col("row_id").alias("cid"), F.col("descriptor").alias("vec"))
+    return nearest_in_group(q, t, "pair").withColumn("d2", F.col("dist") * F.col("dist"))
 
 
 @query(
@@ -135,8 +135,7 @@ def _listed(spark, sf):
     ),
 )
 def one_match_per_target(spark, sf):
-    q, cand = _listed(spark, sf)
-    m = M.one_per_target(M.best_candidates(q, cand))
+    m = M.one_per_target(_nearest_next_image(spark, sf))
     return m.select("qid", "cid", r6("d2", "d2"))
 
 
