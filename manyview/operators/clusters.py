@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,49 +37,42 @@ def claim_clusters(rows: DataFrame, candidates: DataFrame, min_size: int = 2) ->
     meet only through shared rows, so this is the sequential outcome. Each
     settled cluster keeps the nearest live candidate per image.
     """
-    counts = candidates.groupBy(F.col("seed").alias("row_id")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = candidates.groupBy("seed").agg((-F.count(F.lit(1))).alias("neg"))
+    edges = candidates.select("seed", F.col("cand").alias("row"), F.col("cand_image").alias("image"), "dist")
+    # A row without candidates that nobody lists can never join a cluster.
+    listed = edges.select("seed").union(edges.select("row")).distinct()
+    own = rows.select(F.col("row_id").alias("seed"), F.col("row_id").alias("row"), F.col("image_id").alias("image"), F.lit(0.0).alias("dist")).join(
+        listed, "seed", "left_semi"
+    )
+    # One table of live (seed, touched row) pairs; every seed touches itself.
     live = cut(
-        rows.select("row_id", "image_id").join(counts, "row_id", "left")
-        .select("row_id", "image_id", (-F.coalesce("_n", F.lit(0))).alias("neg"))
+        own.unionByName(edges).join(counts, "seed", "left")
+        .select("seed", "row", "image", "dist", F.struct(F.coalesce("neg", F.lit(0)).alias("neg"), F.col("seed").alias("s")).alias("prio"))
     )
-    # A row without candidates that nobody lists can never join a cluster.
-    cand = cut(candidates.select("seed", "cand", "dist", "cand_image"))
-    listed = cand.select(F.col("seed").alias("row_id")).union(cand.select("cand")).distinct()
-    live = cut(live.join(listed, "row_id", "left_semi"))
-    out = None
-    while live.limit(1).count():
-        seeds = live.select(F.col("row_id").alias("seed"), F.struct("neg", F.col("row_id").alias("s")).alias("prio"))
-        own = live.select(
-            F.col("row_id").alias("seed"), F.col("row_id").alias("row"), F.col("image_id").alias("image"),
-            F.lit(0.0).alias("dist"), F.struct("neg", F.col("row_id").alias("s")).alias("prio"),
-        )
-        touched = own.unionByName(
-            cand.join(seeds, "seed").select("seed", F.col("cand").alias("row"), F.col("cand_image").alias("image"), "dist", "prio")
+    kept = []
+    while not live.isEmpty():
+        best = live.groupBy("row").agg(F.min("prio").alias("best"))
+        judged = live.join(best, "row")
+        won = judged.groupBy("seed").agg(F.max((F.col("best") != F.col("prio")).cast("int")).alias("lost")).filter("lost = 0")
+        nearest = (
+            live.join(won.select("seed"), "seed")
+            .groupBy("seed", "image").agg(F.min(F.struct("dist", "row")).alias("m"))
         )
-        best = touched.groupBy("row").agg(F.min("prio").alias("best"))
-        judged = touched.join(best, "row")
-        lost = judged.groupBy("seed").agg(F.max((F.col("best") != F.col("prio")).cast("int")).alias("lost"))
-        won = touched.join(lost.filter("lost = 0").select("seed"), "seed")
-        nearest = won.groupBy("seed", "image").agg(F.min(F.struct("dist", "row")).alias("m"))
         size = nearest.groupBy("seed").agg(F.count(F.lit(1)).alias("size"))
         settled = cut(
-            nearest.join(size, "seed").select(
+            nearest.join(size, "seed").filter((F.col("size") >= min_size) | (F.col("m.row") == F.col("seed"))).select(
                 F.col("seed").alias("cluster_id"), F.col("m.row").alias("row_id"), F.col("image").alias("image_id"),
                 F.col("m.dist").alias("dist"), "size",
             )
         )
-        kept = settled.filter(F.col("size") >= min_size)
-        out = kept if out is None else out.unionByName(kept)
-        claimed = kept.select("row_id").unionAll(settled.filter(F.col("size") < min_size).filter("row_id = cluster_id").select("row_id"))
-        claimed = cut(claimed)
-        live = cut(live.join(claimed, "row_id", "left_anti"))
-        gone = claimed.select(F.col("row_id").alias("seed"))
-        cand = cut(cand.join(gone, "seed", "left_anti").join(gone.select(F.col("seed").alias("cand")), "cand", "left_anti"))
-    if out is None:
-        return candidates.select(
-            F.col("seed").alias("cluster_id"), F.col("seed").alias("row_id"), F.col("seed_image").alias("image_id"), "dist"
-        ).limit(0)
-    return out.drop("size")
+        kept.append(settled.filter(F.col("size") >= min_size).drop("size"))
+        gone = settled.select(F.col("row_id").alias("row"))
+        live = cut(
+            live.join(gone, "row", "left_anti").join(gone.select(F.col("row").alias("seed")), "seed", "left_anti")
+        )
+    if not kept:
+        return edges.select(F.col("seed").alias("cluster_id"), F.col("row").alias("row_id"), F.col("image").alias("image_id"), "dist").limit(0)
+    return reduce(DataFrame.unionByName, kept)
 
 
 def background_floor_clusters(corpus: DataFrame, d: int = 10, alpha: float = 0.8, min_size: int = 2) -> DataFrame:

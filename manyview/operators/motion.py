@@ -7,6 +7,8 @@ one long sequence runs in many tasks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,34 +102,35 @@ def extrapolation_errors(frames: DataFrame, number: str = "frame_no") -> DataFra
         named += [F.lead(c, k).over(w).alias(f"r{k}_{c}") for c in cols]
     h = h.select("*", *named).filter("_own")
 
-    def fit(order: list[str]) -> tuple[Column, Column]:
-        t = [F.col(f"{s}_{number}").cast("double") for s in order]
-        wts = _lagrange(t, F.col(number).cast("double"))
-        pred = tuple(
-            sum((wt * F.col(f"{s}_{c}") for wt, s in zip(wts[1:], order[1:])), wts[0] * F.col(f"{order[0]}_{c}"))
-            for c in ("cx", "cy", "cz")
-        )
-        q0 = Q.quat(*[f"{order[0]}_{c}" for c in ("qw", "qx", "qy", "qz")])
-        acc = tuple(wts[0] * c for c in q0)
-        for wt, s in zip(wts[1:], order[1:]):
-            qs = Q.quat(*[f"{s}_{c}" for c in ("qw", "qx", "qy", "qz")])
-            sign = F.when(Q.dot4(q0, qs) < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-            acc = tuple(a + wt * sign * c for a, c in zip(acc, qs))
-        q_pred = Q.normalize(acc)
-        trans = V.norm(V.sub(pred, V.vec("cx", "cy", "cz")))
-        return trans, F.degrees(Q.angle_between(q_pred, Q.quat("qw", "qx", "qy", "qz")))
-
+    # Each stage lands in named columns, so no expression is expanded inside another.
+    fits = {"ll": ["l2", "l1"], "lq": ["l3", "l2", "l1"], "rl": ["r1", "r2"], "rq": ["r1", "r2", "r3"]}
+    target = F.col(number).cast("double")
+    weights, flips, sums, diffs, angles = {}, {}, {}, {}, {}
+    for f, order in fits.items():
+        times = [F.col(f"{s}_{number}").cast("double") for s in order]
+        # Order inside a fit is by time, which fixes the hemisphere reference.
+        first = Q.quat(*[f"{order[0]}_{c}" for c in POSE[3:]])
+        for s, wt in zip(order, _lagrange(times, target)):
+            weights[f"w_{f}_{s}"] = wt
+            other = Q.quat(*[f"{s}_{c}" for c in POSE[3:]])
+            flips[f"s_{f}_{s}"] = F.when(Q.dot4(first, other) < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+        for c in POSE:
+            terms = [F.col(f"w_{f}_{s}") * F.col(f"{s}_{c}") * (F.lit(1.0) if c[0] == "c" else F.col(f"s_{f}_{s}")) for s in order]
+            sums[f"p_{f}_{c}"] = reduce(lambda x, y: x + y, terms)
+        turn = Q.mul(Q.quat(*POSE[3:]), Q.conj(Q.quat(*[f"p_{f}_{c}" for c in POSE[3:]])))
+        for c, e in zip("wxyz", turn):
+            diffs[f"d_{f}_{c}"] = e
+        angles[f"t_{f}"] = V.norm(V.sub(V.vec(*[f"p_{f}_{c}" for c in POSE[:3]]), V.vec(*POSE[:3])))
+        # The angle of an unnormalised quaternion is that of the normalised one.
+        angles[f"r_{f}"] = F.degrees(Q.angle(Q.quat(*[f"d_{f}_{c}" for c in "wxyz"])))
+    for stage in ({**weights, **flips}, sums, diffs, angles):
+        h = h.withColumns(stage)
     outs = []
-    # Order inside a fit is by time, which fixes the hemisphere reference.
-    for side, lin, quad in (("left", ["l2", "l1"], ["l3", "l2", "l1"]), ("right", ["r1", "r2"], ["r1", "r2", "r3"])):
-        lt, lr = fit(lin)
-        qt, qr = fit(quad)
-        far = quad[0] if side == "left" else quad[-1]
-        near2 = lin[0] if side == "left" else lin[-1]
-        has3 = F.col(f"{far}_cx").isNotNull()
-        has2 = F.col(f"{near2}_cx").isNotNull()
-        outs.append(F.when(has2, F.when(has3, F.least(lt, qt)).otherwise(lt)).alias(f"{side}_trans_err"))
-        outs.append(F.when(has2, F.when(has3, F.least(lr, qr)).otherwise(lr)).alias(f"{side}_rot_err"))
+    for side, near2, near3, lin, quad in (("left", "l2", "l3", "ll", "lq"), ("right", "r2", "r3", "rl", "rq")):
+        has2, has3 = F.col(f"{near2}_cx").isNotNull(), F.col(f"{near3}_cx").isNotNull()
+        for kind, name in (("t", "trans"), ("r", "rot")):
+            one, two = F.col(f"{kind}_{lin}"), F.col(f"{kind}_{quad}")
+            outs.append(F.when(has2, F.when(has3, F.least(one, two)).otherwise(one)).alias(f"{side}_{name}_err"))
     return h.select("seq", "pos", *outs)
 
 
