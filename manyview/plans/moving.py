@@ -203,13 +203,13 @@ drops AS (SELECT a.seq, a.pos, a.overlap, CASE WHEN count(b.pos) < 3 THEN NULL W
 
 @query(
     "overlap_drop",
-    roles.sql(*PATH, SEEN_SQL, OVERLAP_SQL, body="SELECT seq, pos, round(overlap, 6) AS overlap, round(drop, 4) AS drop FROM drops"),
+    roles.sql(*PATH, SEEN_SQL, OVERLAP_SQL, body="SELECT seq, pos, round(overlap, 6) AS overlap, round(drop, 9) AS drop FROM drops"),
 )
 def overlap_drop(spark, sf):
     f = path(spark, sf)
     lengths = f.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
     d = motion.overlap_drops(motion.edge_overlaps(seen(f), lengths))
-    return d.select("seq", "pos", r6("overlap", "overlap"), r6("drop", "drop", 4))
+    return d.select("seq", "pos", r6("overlap", "overlap"), r6("drop", "drop", 9))
 
 
 FLAGS_SQL = """
