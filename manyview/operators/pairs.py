@@ -126,8 +126,8 @@ def seed_groups(pairs: DataFrame, group_size: int = 5, min_shared: int = 8, max_
 def thin(pairs: DataFrame, order: DataFrame, tau: float) -> DataFrame:
     """Redundancy thinning: keep an image when its best count against kept earlier images is in [tau/8, tau).
 
-    ``order`` is (image_id, rank). An image is decided once every earlier partner
-    that could matter is decided, so each round settles many images at once. The
+    ``order`` is (image_id, rank). An image is decided once no undecided earlier
+    partner can change the answer, so each round settles many images at once. The
     first image is always kept; images without any kept partner are dropped.
     """
     low, high = tau / 8.0, tau
@@ -157,10 +157,13 @@ def thin(pairs: DataFrame, order: DataFrame, tau: float) -> DataFrame:
         facts = deps.join(seen, "earlier").groupBy("image_id").agg(
             F.max(F.when(F.col("e_kept"), F.col("shared"))).alias("best"),
             F.sum(F.col("e_kept").isNull().cast("int")).alias("open"),
+            F.sum((F.col("e_kept").isNull() & (F.col("shared") >= high)).cast("int")).alias("open_high"),
         )
+        # Undecided partners below the band's top cannot push a kept image out of it.
         decided = (
             F.when(F.col("best") >= high, F.lit(False))
-            .when(F.col("open") == 0, F.coalesce(F.col("best") < high, F.lit(False)))
+            .when(F.col("best").isNotNull() & (F.col("open_high") == 0), F.lit(True))
+            .when(F.col("open") == 0, F.lit(False))
         )
         state = cut(
             state.join(facts, "image_id", "left").select("image_id", F.coalesce("kept", decided).alias("kept"))

@@ -89,7 +89,7 @@ ptracks AS (SELECT root, count(DISTINCT (i, f)) AS n_obs FROM part_obs JOIN root
     roles.sql(
         roles.POINTS_SQL, LINK_SQL, MERGE_SQL,
         body="""
-        SELECT root, round(avg(x), 10) AS x, round(avg(y), 10) AS y, round(avg(z), 10) AS z, round(avg(error), 10) AS error, CAST(round(avg(r)) AS INTEGER) AS r,
+        SELECT root, CAST(avg(x) AS FLOAT) AS x, CAST(avg(y) AS FLOAT) AS y, CAST(avg(z) AS FLOAT) AS z, CAST(avg(error) AS FLOAT) AS error, CAST(round(avg(r)) AS INTEGER) AS r,
                CAST(round(avg(g)) AS INTEGER) AS g, CAST(round(avg(b)) AS INTEGER) AS b, count(*) AS n_parts, coalesce(any_value(n_obs), 0) AS n_obs
         FROM rooted LEFT JOIN ptracks USING (root) GROUP BY root
         """,
@@ -100,7 +100,7 @@ def merge_points_and_tracks(spark, sf):
     merged, tracks = merge.merge_points_and_tracks(pts, obs, groups)
     n = tracks.groupBy("root").agg(F.count(F.lit(1)).alias("n_obs"))
     return merged.join(n, "root", "left").select(
-        "root", *[r6(c, c, 10) for c in ("x", "y", "z", "error")], "r", "g", "b", "n_parts", F.coalesce("n_obs", F.lit(0)).alias("n_obs")
+        "root", *[F.col(c).cast("float").alias(c) for c in ("x", "y", "z", "error")], "r", "g", "b", "n_parts", F.coalesce("n_obs", F.lit(0)).alias("n_obs")
     )
 
 
