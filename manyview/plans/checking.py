@@ -78,3 +78,52 @@ def stale_features(spark, sf):
     d = roles.table(spark, sf, "documents").select("doc_id", F.md5("text").alias("content_hash"))
     done = d.join(roles.table(spark, sf, "labels").filter("quality = 1"), "doc_id", "left_semi").withColumn("tool_hash", F.lit("t1"))
     return pending(d.withColumn("tool_hash", F.lit("t1")), done).select("doc_id", "content_hash")
+
+
+@query(
+    "ply_vertices",
+    roles.sql(
+        roles.POINTS_SQL,
+        body="SELECT point_id, printf('%.6f %.6f %.6f %d %d %d', x, y, z, point_id % 256, point_id * 3 % 256, point_id * 5 % 256) AS line FROM points WHERE w <> 0",
+    ),
+)
+def ply_vertices(spark, sf):
+    from ..sources.export import ply_vertices as lines
+
+    k = F.col("point_id")
+    return lines(roles.points(spark, sf).withColumns({"r": k % 256, "g": k * 3 % 256, "b": k * 5 % 256}))
+
+
+@query("frame_transforms")
+def frame_transforms(spark, sf):
+    from ..functions.camera import harness_cameras
+    from ..sources.export import frame_transforms as frames
+
+    return frames(roles.images(spark, sf), harness_cameras(roles.table(spark, sf, "nation")))
+
+
+@query(
+    "transform_steps",
+    roles.sql(
+        roles.POINTS_SQL, roles.OBS_SQL,
+        body="""
+        , im AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS k FROM (SELECT s_suppkey AS image_id, CAST(regexp_extract(s_name, '(\\d+)$', 1) AS BIGINT) AS num FROM supplier)
+                 WHERE num BETWEEN 0 AND 60 OR num BETWEEN 80 AND 99),
+        e AS (SELECT point_id, x, y, z, w FROM points WHERE error <= 1.5),
+        o1 AS (SELECT o.point_id, k FROM obs o JOIN e USING (point_id) JOIN im USING (image_id)),
+        keep AS (SELECT point_id, row_number() OVER (ORDER BY point_id) - 1 AS new_id FROM (SELECT DISTINCT point_id FROM o1)),
+        n AS (SELECT new_id, count(*) AS n FROM o1 JOIN keep USING (point_id) GROUP BY 1 HAVING count(*) > 2)
+        SELECT new_id AS point_id, n AS n_obs, round(CASE WHEN w = 0 THEN x ELSE 2 * x END, 6) AS x, round(CASE WHEN w = 0 THEN z ELSE 2 * z END, 6) AS z
+        FROM n JOIN keep USING (new_id) JOIN e USING (point_id)
+        """,
+    ),
+)
+def transform_steps(spark, sf):
+    """Several steps in a row on one reconstruction."""
+    from . import transforms as S
+
+    out = roles.recon(spark, sf).transform(
+        S.filter_by_reprojection_error(1.5), S.include_range("0-60,80-99"), S.remove_short_tracks(2), S.scale(2.0)
+    )
+    n = out.obs.groupBy("point_id").agg(F.count(F.lit(1)).alias("n_obs"))
+    return out.points.join(n, "point_id").select("point_id", "n_obs", F.round("x", 6).alias("x"), F.round("z", 6).alias("z"))
