@@ -15,6 +15,7 @@ def merge_points_and_tracks(points: DataFrame, obs: DataFrame, groups: DataFrame
     merged image ids, groups (key, group_key). Grouped points are averaged first;
     points that then share an observation are united and the group means averaged
     again. Links run through the observation itself (a star), never all pairs.
+    Colours are rounded twice, so the order of summation cannot move a half.
     Returns points (root, x, y, z, r, g, b, error, n_parts) and tracks (root, image_id, feature_index).
     """
     tagged = points.join(groups, "key", "left").withColumn("part", F.coalesce("group_key", "key"))
@@ -29,7 +30,7 @@ def merge_points_and_tracks(points: DataFrame, obs: DataFrame, groups: DataFrame
     rooted = means.join(comp, "part", "left").withColumn("root", F.coalesce("root", "part"))
     merged = rooted.groupBy("root").agg(
         *[F.avg(c).alias(c) for c in ("x", "y", "z", "error")],
-        *[F.round(F.avg(c)).cast("int").alias(c) for c in ("r", "g", "b")],
+        *[F.round(F.round(F.avg(c), 6)).cast("int").alias(c) for c in ("r", "g", "b")],
         F.count(F.lit(1)).alias("n_parts"),
     )
     tracks = (

@@ -89,8 +89,8 @@ ptracks AS (SELECT root, count(DISTINCT (i, f)) AS n_obs FROM part_obs JOIN root
     roles.sql(
         roles.POINTS_SQL, LINK_SQL, MERGE_SQL,
         body="""
-        SELECT root, CAST(avg(x) AS FLOAT) AS x, CAST(avg(y) AS FLOAT) AS y, CAST(avg(z) AS FLOAT) AS z, CAST(avg(error) AS FLOAT) AS error, CAST(round(avg(r)) AS INTEGER) AS r,
-               CAST(round(avg(g)) AS INTEGER) AS g, CAST(round(avg(b)) AS INTEGER) AS b, count(*) AS n_parts, coalesce(any_value(n_obs), 0) AS n_obs
+        SELECT root, CAST(avg(x) AS FLOAT) AS x, CAST(avg(y) AS FLOAT) AS y, CAST(avg(z) AS FLOAT) AS z, CAST(avg(error) AS FLOAT) AS error, CAST(round(round(avg(r), 6)) AS INTEGER) AS r,
+               CAST(round(round(avg(g), 6)) AS INTEGER) AS g, CAST(round(round(avg(b), 6)) AS INTEGER) AS b, count(*) AS n_parts, coalesce(any_value(n_obs), 0) AS n_obs
         FROM rooted LEFT JOIN ptracks USING (root) GROUP BY root
         """,
     ),
