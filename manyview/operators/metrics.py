@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quat as Q
 from ..functions import vec as V
+from ..session import cut
 from .skew import exact_median, exact_quantiles
 
 DEPTH_BINS = 128
@@ -23,10 +24,7 @@ def observation_offsets(obs: DataFrame) -> DataFrame:
 
     Counts are range partitioned by point; only per-range totals meet in one window.
     """
-    from ..session import cut, shuffle_partitions
-
-    n = shuffle_partitions(obs.sparkSession)
-    r = cut(observation_counts(obs).repartitionByRange(n, "point_id").withColumn("_pid", F.spark_partition_id()))
+    r = cut(observation_counts(obs).repartitionByRange("point_id").withColumn("_pid", F.spark_partition_id()))
     totals = r.groupBy("_pid").agg(F.sum("n").alias("t"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("_pid", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, shuffle_partitions
+from ..session import cut
 
 PAIR_BLOCK = 1024
 CHUNK = 4096
@@ -71,9 +71,8 @@ def global_rank(
     ``order`` must be a total order within ``keys``.
     """
     keys, order = list(keys), list(order)
-    n = shuffle_partitions(df.sparkSession)
     ranged = cut(
-        df.repartitionByRange(n, *[F.col(c) for c in keys + order]).withColumn("_pid", F.spark_partition_id())
+        df.repartitionByRange(*[F.col(c) for c in keys + order]).withColumn("_pid", F.spark_partition_id())
     )
     counts = ranged.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -115,14 +114,13 @@ def exact_quantiles(
     NULL and NaN values are left out.
     """
     keys = list(keys)
-    n = shuffle_partitions(df.sparkSession)
     counted = (
         df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     ranged = cut(
-        counted.repartitionByRange(n, *[F.col(c) for c in keys], F.col("_v")).withColumn(
+        counted.repartitionByRange(*[F.col(c) for c in keys], F.col("_v")).withColumn(
             "_pid", F.spark_partition_id()
         )
     )
