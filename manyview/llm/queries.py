@@ -1,4 +1,4 @@
 """Imports every module of this subpackage that registers queries."""
 
-from . import mixing  # noqa: F401
+from . import chat, mixing, quality  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
