@@ -151,10 +151,8 @@ def windows(w: Words, n: int = 5, short: bool = False) -> tuple[np.ndarray, np.n
     take = np.repeat(w.at[:-1] - np.concatenate(([0], np.cumsum(many)))[:-1], many) + np.arange(many.sum())
     out[np.repeat(~brief, many_out)] = full[take]
     for i in np.flatnonzero(brief):
-        h = np.uint64(0)
-        for x in w.hash[w.at[i] : w.at[i + 1]]:
-            h = (h + x) * np.uint64(0xD6E8FEB86659FD93)
-        out[at[i]] = mix(np.array([h + n_words[i].astype(np.uint64)]))[0]
+        own = w.hash[w.at[i] : w.at[i + 1]] * powers(n + 1)[1 : n_words[i] + 1]
+        out[at[i]] = mix(own.sum(keepdims=True) + n_words[i : i + 1].astype(np.uint64))[0]
     return out, at
 
 
