@@ -1,4 +1,4 @@
 """Imports every module of this subpackage that registers queries."""
 
-from . import chat, decontam, lines, lm, mixing, near, pii, substring, quality  # noqa: F401
+from . import chat, decontam, licenses, lines, lm, mixing, near, pii, substring, quality  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
