@@ -8,10 +8,6 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed pattern: a parenthesised number at the end of the stem, or bare trailing digits.
-NUMBER_PATTERN = r"(?:\((\d+)\)|(\d+))$"
-
-
 def stem(name: Column | str) -> Column:
     """File name without directories and without its last extension."""
     c = F.col(name) if isinstance(name, str) else name

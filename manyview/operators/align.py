@@ -142,18 +142,21 @@ def fit_trimmed(pairs: DataFrame, keep_percentile: float = 90.0, rounds: int = 3
 def ransac_similarity(pairs: DataFrame, threshold: float, iterations: int = 64, sample: int = 3, seed: int = 0) -> tuple[Similarity, int]:
     """Consensus over hypotheses; all of them are scored in one pass over the pairs.
 
-    Sample rows are picked by hashing, so only iterations x sample rows reach the driver.
+    Every draw is over all pairs: the row with the smallest hash under the draw's own seed.
+    One pass makes all draws, and iterations x sample rows reach the driver. Without a usable
+    hypothesis every pair counts as an inlier.
     """
-    wanted = iterations * sample
-    picked = pairs.orderBy(F.xxhash64(F.lit(seed), "pair_id"), "pair_id").limit(wanted).select("sx", "sy", "sz", "tx", "ty", "tz").collect()
-    rng = np.random.default_rng(seed)
-    data = np.array([list(r) for r in picked], float)
+    row = F.struct("sx", "sy", "sz", "tx", "ty", "tz")
+    draws = [F.min_by(row, F.struct(F.xxhash64(F.lit(seed), F.lit(k), "pair_id"), F.col("pair_id"))) for k in range(iterations * sample)]
+    drawn = pairs.agg(*[d.alias(f"d{k}") for k, d in enumerate(draws)]).first()
     hyps = []
-    for _ in range(iterations):
-        idx = rng.choice(len(data), size=sample, replace=False)
-        sim = _local_fit(data[idx])
+    for i in range(iterations if drawn["d0"] is not None else 0):
+        rows = {tuple(drawn[f"d{k}"]) for k in range(i * sample, (i + 1) * sample)}
+        sim = _local_fit(np.array(sorted(rows), float)) if len(rows) == sample else None
         if sim is not None:
             hyps.append(sim)
+    if not hyps:
+        return fit_similarity(pairs), pairs.count()
     scores = []
     for sim in hyps:
         r, t = sim.rotation, sim.translation
@@ -166,7 +169,8 @@ def ransac_similarity(pairs: DataFrame, threshold: float, iterations: int = 64,
     counts = pairs.agg(*[c.alias(f"h{i}") for i, c in enumerate(scores)]).first()
     best = max(range(len(hyps)), key=lambda i: (counts[i], -i))
     inliers = residuals(pairs, hyps[best]).filter(F.col("residual") <= threshold)
-    return fit_similarity(inliers), int(counts[best])
+    # Fewer inliers than a sample don't define a fit; the hypothesis stands.
+    return (fit_similarity(inliers) if counts[best] >= sample else hyps[best]), int(counts[best])
 
 
 def _local_fit(rows: np.ndarray) -> Similarity | None:

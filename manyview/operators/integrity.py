@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..model import Recon
 
 
-@F.pandas_udf(T.StringType())
-def xxh128(data: pd.Series) -> pd.Series:
-    """Hex XXH128 of binary values."""
-    import xxhash
+def content_hash(data: Column) -> Column:
+    """Hex digest of a binary or string value."""
+    return F.sha2(data, 256)
 
-    return data.map(lambda b: None if b is None else xxhash.xxh128_hexdigest(bytes(b)))
+
+def stale_hashes(sections: DataFrame, stored: DataFrame) -> DataFrame:
+    """Sections whose stored hash is missing or differs from their content's: (name, stored, computed)."""
+    now = sections.select("name", content_hash(F.col("content")).alias("computed"))
+    return now.join(stored.select("name", "stored"), "name", "left").filter(~F.col("computed").eqNullSafe(F.col("stored")))
 
 
 def _count(df: DataFrame, name: str) -> DataFrame:

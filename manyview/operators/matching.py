@@ -224,7 +224,8 @@ def merge_pair_matches(parts: DataFrame) -> DataFrame:
 
 
 def merge_two_view(parts: DataFrame) -> DataFrame:
-    """Best two-view geometry per unordered pair: most inliers, ties to the first file.
+    """Best two-view geometry per unordered pair: most inliers, ties to the first file and
+    then to the largest remaining columns in order, so that the result is one of the rows.
 
     Swapped pairs transpose F and E, invert H and invert the relative pose.
     Matrices are arrays of nine in row order; pose is q (w, x, y, z) and t.
@@ -242,7 +243,7 @@ def merge_two_view(parts: DataFrame) -> DataFrame:
     rest = [c for c in p.columns if c not in ("i", "j")]
     return (
         p.groupBy("i", "j")
-        .agg(F.max_by(F.struct(*rest), F.struct("inliers", -F.col("file"))).alias("b"))
+        .agg(F.max(F.struct("inliers", (-F.col("file")).alias("_first"), *[c for c in rest if c not in ("inliers", "file")])).alias("b"))
         .select("i", "j", *[f"b.{c}" for c in rest if c != "file"])
     )
 

@@ -48,11 +48,26 @@ def verify_matches(spark, sf):
     return integrity.verify_matches(p, m)
 
 
-@query("content_hashes")
+@query("content_hashes", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
 def content_hashes(spark, sf):
-    """XXH128 of every document's bytes, the hash the archives store."""
+    """The hash of every document's bytes."""
     d = roles.table(spark, sf, "documents")
-    return d.select("doc_id", integrity.xxh128(F.encode("text", "UTF-8")).alias("xxh128"))
+    return d.select("doc_id", integrity.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query(
+    "stale_hashes",
+    """
+    SELECT d.doc_id AS name, CASE WHEN l.quality = 1 THEN sha256(d.text) WHEN l.quality = 0 THEN md5(d.text) END AS stored, sha256(d.text) AS computed
+    FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NULL OR l.quality <> 1
+    """,
+)
+def stale_hashes(spark, sf):
+    """Documents without a stored hash, or with one that isn't their content's."""
+    d = roles.table(spark, sf, "documents").select(F.col("doc_id").alias("name"), F.col("text").alias("content"))
+    kept = d.join(roles.table(spark, sf, "labels").withColumnRenamed("doc_id", "name"), "name")
+    stored = kept.select("name", F.when(F.col("quality") == 1, integrity.content_hash(F.col("content"))).otherwise(F.md5("content")).alias("stored"))
+    return integrity.stale_hashes(d, stored)
 
 
 @query(

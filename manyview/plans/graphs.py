@@ -33,14 +33,14 @@ def links(spark, sf):
 @query(
     "connected_groups",
     """
-    WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey * 7 % 1009 AS dst FROM customer WHERE c_custkey * 7 % 1009 <> c_custkey AND c_acctbal > 6000),
+    WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey * 7 % 1009 AS dst FROM customer WHERE c_custkey * 7 % 1009 <> c_custkey),
     sym AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
     walk AS (SELECT DISTINCT a AS node, a AS root FROM sym UNION SELECT s.b, w.root FROM walk w JOIN sym s ON s.a = w.node)
     SELECT node, min(root) AS root FROM walk GROUP BY 1
     """,
 )
 def connected_groups(spark, sf):
-    c = roles.table(spark, sf, "customer").filter("c_acctbal > 6000")
+    c = roles.table(spark, sf, "customer")
     e = c.select(F.col("c_custkey").alias("src"), (F.col("c_custkey") * 7 % 1009).alias("dst")).filter("src <> dst")
     return graph.connected_components(e)
 
@@ -120,8 +120,7 @@ def _merge_inputs(spark, sf):
 ADJ_SQL = """
 o AS (SELECT ob.image_id, ob.point_id, ob.x, ob.y, 1.0 + ob.point_id % 3 AS radius,
              sqrt((p.x - c.cx) * (p.x - c.cx) + (p.y - c.cy) * (p.y - c.cy) + (p.z - c.cz) * (p.z - c.cz)) AS dist
-      FROM (SELECT point_id, l_partkey % 16 AS image_id, min(x) AS x, min(y) AS y FROM
-              (SELECT l_orderkey AS point_id, l_partkey, l_quantity * 20.0 AS x, l_extendedprice / 125.0 AS y FROM lineitem) GROUP BY 1, 2) ob
+      FROM obs ob
       JOIN points p USING (point_id) JOIN centers c USING (image_id) WHERE p.w <> 0),
 near AS (SELECT DISTINCT a.point_id AS p, b.point_id AS q FROM o a JOIN o b ON a.image_id = b.image_id AND a.point_id < b.point_id
          AND abs(a.x - b.x) <= 10.0 * least(a.radius, b.radius) AND abs(a.y - b.y) <= 10.0 * least(a.radius, b.radius)
@@ -135,10 +134,7 @@ agg AS (SELECT p, q, count(*) AS shared, count(CASE WHEN ratio BETWEEN 1 AND 10
 
 
 def adjacency_input(spark, sf):
-    li = roles.table(spark, sf, "lineitem")
-    o = li.groupBy(F.col("l_orderkey").alias("point_id"), (F.col("l_partkey") % 16).alias("image_id")).agg(
-        F.min(F.col("l_quantity") * 20.0).alias("x"), F.min(F.col("l_extendedprice") / 125.0).alias("y")
-    )
+    o = roles.obs(spark, sf).select("point_id", "image_id", "x", "y")
     p = roles.points(spark, sf).filter("w <> 0").select("point_id", *[F.col(c).alias(f"p{c}") for c in "xyz"])
     c = metrics.with_centers(roles.images(spark, sf)).select("image_id", "cx", "cy", "cz")
     d = V.norm(V.sub(V.vec("px", "py", "pz"), V.vec("cx", "cy", "cz")))
@@ -150,7 +146,7 @@ def adjacency_input(spark, sf):
 @query(
     "observation_adjacency",
     roles.sql(
-        roles.IMAGES_SQL, roles.CENTERS_SQL, roles.POINTS_SQL, ADJ_SQL,
+        roles.IMAGES_SQL, roles.CENTERS_SQL, roles.POINTS_SQL, roles.OBS_SQL, ADJ_SQL,
         body="""SELECT p, q, shared, hits, round(sep_median, 5) AS sep_median, round(mismatch, 5) AS mismatch FROM agg
                 WHERE shared >= 1 AND hits > 0 AND hits >= 0.5 * shared AND mismatch <= 0.2""",
     ),

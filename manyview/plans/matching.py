@@ -276,18 +276,11 @@ def merge_min_distance(spark, sf):
     u AS (SELECT file, least(i, j) AS i, greatest(i, j) AS j, inliers, config, CASE WHEN i > j THEN [m[1], m[4], m[7], m[2], m[5], m[8], m[3], m[6], m[9]] ELSE m END AS f,
                  i > j AS swapped, m FROM p),
     h AS (SELECT *, m[1] * (m[5] * m[9] - m[6] * m[8]) - m[2] * (m[4] * m[9] - m[6] * m[7]) + m[3] * (m[4] * m[8] - m[5] * m[7]) AS det FROM u),
-    b AS (SELECT i, j, max(inliers) AS inliers FROM h GROUP BY 1, 2),
-    f1 AS (SELECT h.i, h.j, h.inliers, min(file) AS file FROM h JOIN b USING (i, j, inliers) GROUP BY 1, 2, 3)
-    SELECT i, j, inliers, max(round(f[2], 6)) AS f01, max(round(CASE WHEN swapped THEN (m[5] * m[9] - m[6] * m[8]) / det ELSE m[1] END, 6)) AS h00
-    FROM h JOIN f1 USING (i, j, inliers, file) GROUP BY 1, 2, 3 HAVING count(DISTINCT (f, swapped)) = 1
+    b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY inliers DESC, file, config DESC, f DESC) = 1)
+    SELECT i, j, inliers, round(f[2], 6) AS f01, round(CASE WHEN swapped THEN (m[5] * m[9] - m[6] * m[8]) / det ELSE m[1] END, 6) AS h00 FROM b
     """,
 )
 def merge_two_view_best(spark, sf):
-    return _two_view(spark, sf)
-
-
-def _two_view(spark, sf):
-    """Pairs whose best geometry is unambiguous (the same file can repeat a pair here)."""
     li = roles.table(spark, sf, "lineitem")
     d = lambda v: F.lit(float(v))
     m = F.array(d(1), F.col("l_discount"), d(2), F.col("l_tax"), d(3), d(0.5), d(0.25), d(0.125), d(4))
@@ -297,14 +290,7 @@ def _two_view(spark, sf):
         F.array(d(1), d(0), d(0), d(0)).alias("q"), F.array(d(1), d(2), d(3)).alias("t"),
     )
     best = M.merge_two_view(parts)
-    key = (F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
-    seen = parts.select(*key, "file", "inliers", F.struct("f", F.col("i") > F.col("j")).alias("v"))
-    top = seen.groupBy("i", "j").agg(F.max(F.struct("inliers", -F.col("file"))).alias("t"))
-    clear = (
-        seen.join(top, ["i", "j"]).filter((F.col("inliers") == F.col("t.inliers")) & (-F.col("file") == F.col("t.col2")))
-        .groupBy("i", "j").agg(F.countDistinct("v").alias("k")).filter("k = 1").select("i", "j")
-    )
-    return best.join(clear, ["i", "j"]).select("i", "j", "inliers", r6(F.col("f")[1], "f01"), r6(F.col("h")[0], "h00"))
+    return best.select("i", "j", "inliers", r6(F.col("f")[1], "f01"), r6(F.col("h")[0], "h00"))
 
 
 @query(
