@@ -69,7 +69,8 @@ def copies(docs: DataFrame, weights=WEIGHTS, share: int = SHARE, most: int = MOS
     per = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(per, weights, share, most)
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
-    ranked = global_rank(docs.withColumn("_key", key), ["size", "_key", "doc_id"], ["source"], "_pos")
+    keyed = docs.withColumn("_key", key).withColumn("_none", F.col("source").isNull()).withColumn("_of", F.coalesce("source", F.lit("")))
+    ranked = global_rank(keyed, ["size", "_key", "doc_id"], ["_none", "_of"], "_pos")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = ranked.join(targets.withColumnRenamed("source", "_src"), F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
     u = unit_hash(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("source"), F.lit("\0"))))

@@ -14,8 +14,8 @@ share costs one entry per block. A bucket answers for each entry whether other d
 have the digest and whether the block has its first place; the block then cuts its texts.
 
 Defined results: null and empty texts have no chunks and stay as they are; rows with one
-doc_id are one document (their common text isn't repeated "across documents"); rows without
-doc_id count as one last document; texts without a cut are one chunk; an empty table gives
+doc_id are one document (what only they have isn't repeated "across documents", and repeated
+rows fare alike); rows without doc_id count as one last document; texts without a cut are one chunk; an empty table gives
 an empty result; other columns are not read.
 """
 
@@ -173,13 +173,16 @@ def _cut(t: pa.Table, answers: pa.Table) -> pa.Table:
     flags = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(packed[i], np.uint8) for i in order)])
     read = _read(_ordered(t))
     u, at = np.unique(np.concatenate([c.digest for *_, c in read]), return_index=True)
-    base, out = 0, []
+    least = np.concatenate([_ids(p)[c.doc] for p, _, _, c in read])[at]  # documents stand in order
+    out = []
     for p, raw, offs, c in read:
         k = np.searchsorted(u, c.digest)
         mine = flags[k] if len(k) else np.zeros(0, np.uint8)
-        # The first place is the first document's: every chunk of it, once.
-        first = (mine & 2 > 0) & (at[k] == base + np.arange(len(k))) if len(k) else np.zeros(0, bool)
-        base += len(k)
+        # The first place is the smallest doc_id's, and of its row the first one with the digest.
+        first = (mine & 2 > 0) & (_ids(p)[c.doc] == least[k]) if len(k) else np.zeros(0, bool)
+        once = np.zeros(len(k), bool)
+        once[np.unique(mix(c.digest ^ mix(c.doc.astype(np.uint64))), return_index=True)[1]] = True
+        first &= once
         inside = ~_SPACE[raw]
         word = inside.copy()
         word[1:] &= ~inside[:-1]
