@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quat as Q
 from ..functions import vec as V
 from ..session import cut
-from .skew import self_pairs
+from .graph import connected_components
+from .skew import global_rank, self_pairs
 
 
 def shared_counts(rows: DataFrame, group: str, image: str = "image_id", out: str = "shared") -> DataFrame:
@@ -92,35 +96,86 @@ def reach_fraction(pairs: DataFrame, images: DataFrame, min_shared: int) -> Data
     )
 
 
-def seed_groups(pairs: DataFrame, group_size: int = 5, min_shared: int = 8, max_groups: int | None = None):
-    """Yield mutually covisible groups, strongest pair first, images used once.
+#: Pairs of a connected part of the graph that one task walks through by itself.
+LOCAL_PAIRS = 200_000
 
-    Every step is a small aggregate over the pair table; only one pair or one
-    image id comes back to the driver at a time.
+
+def seed_groups(pairs: DataFrame, group_size: int = 5, min_shared: int = 8) -> DataFrame:
+    """Mutually covisible groups, strongest pair first, images used once: (group_no, image_id).
+
+    A group starts from the strongest pair left (ties to the smaller ids) and takes, one by
+    one, the image that shares most with its weakest partner among those linked to all
+    members. Connected parts of the graph don't affect each other: parts of bounded size are
+    walked through in one task each. In larger parts a round settles every pair that is the
+    strongest of all pairs at most two images away, which is what the walk would reach with
+    that neighbourhood unchanged; used images leave and parts fall apart.
     """
-    live = cut(pairs.filter(F.col("shared") >= min_shared).select("i", "j", "shared"))
-    n = 0
-    while max_groups is None or n < max_groups:
-        top = live.orderBy(F.desc("shared"), "i", "j").first()
-        if top is None:
-            return
-        group = [top["i"], top["j"]]
-        while len(group) < group_size:
-            touching = live.filter(F.col("i").isin(group) != F.col("j").isin(group))
-            other = F.when(F.col("i").isin(group), F.col("j")).otherwise(F.col("i"))
-            best = (
-                touching.groupBy(other.alias("k"))
-                .agg(F.count(F.lit(1)).alias("links"), F.min("shared").alias("weakest"))
-                .filter(F.col("links") == len(group))
-                .orderBy(F.desc("weakest"), "k")
-                .first()
-            )
-            if best is None:
-                break
-            group.append(best["k"])
-        yield sorted(group)
-        n += 1
-        live = cut(live.filter(~F.col("i").isin(group) & ~F.col("j").isin(group)))
+    live = cut(pairs.filter(F.col("shared") >= min_shared).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("shared").cast("long").alias("shared")))
+    done = []
+    while not live.isEmpty():
+        parts = live.join(connected_components(live, "i", "j").withColumnRenamed("node", "i"), "i")
+        size = parts.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+        parts = cut(parts.join(size, "root"))
+        small = parts.filter(F.col("n") <= LOCAL_PAIRS).select("root", "i", "j", "shared")
+        done.append(small.groupBy("root").applyInPandas(_walk(group_size), "i long, j long, shared long, image_id long"))
+        large = parts.filter(F.col("n") > LOCAL_PAIRS).select("i", "j", "shared")
+        if large.isEmpty():
+            break
+        won = cut(_settled_groups(large, group_size))
+        done.append(won)
+        used = won.select("image_id").distinct()
+        live = cut(large.join(used.withColumnRenamed("image_id", "i"), "i", "left_anti").join(used.withColumnRenamed("image_id", "j"), "j", "left_anti"))
+    if not done:
+        return pairs.sparkSession.createDataFrame([], "group_no long, image_id long")
+    members = cut(reduce(DataFrame.unionByName, done))
+    seeds = global_rank(members.select((-F.col("shared")).alias("s"), "i", "j").distinct(), ["s", "i", "j"], out="group_no")
+    return members.join(seeds.select("i", "j", "group_no"), ["i", "j"]).select("group_no", "image_id")
+
+
+def _walk(group_size: int):
+    """The greedy walk over one connected part."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, dict[int, int]] = defaultdict(dict)
+        for i, j, s in zip(part["i"].tolist(), part["j"].tolist(), part["shared"].tolist(), strict=True):
+            near[i][j] = near[j][i] = s
+        used, out = set(), []
+        for i, j, s in part.sort_values(["shared", "i", "j"], ascending=[False, True, True])[["i", "j", "shared"]].itertuples(index=False):
+            if i in used or j in used:
+                continue
+            group = [i, j]
+            while len(group) < group_size:
+                both = set(near[group[0]]).intersection(*(near[g] for g in group[1:])) - used
+                if not both:
+                    break
+                group.append(max(both, key=lambda k: (min(near[k][g] for g in group), -k)))
+            used.update(group)
+            out += [(i, j, s, g) for g in group]
+        return pd.DataFrame(out, columns=["i", "j", "shared", "image_id"], dtype="int64")
+
+    return run
+
+
+def _settled_groups(live: DataFrame, group_size: int) -> DataFrame:
+    """Groups of the pairs that no stronger pair within two images can disturb."""
+    key = F.struct((-F.col("shared")).alias("s"), F.col("i").alias("a"), F.col("j").alias("b"))
+    keyed = live.withColumn("key", key)
+    sym = cut(keyed.select(F.col("i").alias("x"), F.col("j").alias("y"), "shared", "key").unionByName(keyed.select(F.col("j").alias("x"), F.col("i").alias("y"), "shared", "key")))
+    best = sym.groupBy("x").agg(F.min("key").alias("k"))
+    for _ in range(2):
+        around = sym.select("x", "y").join(best.withColumnRenamed("x", "y"), "y").select("x", "k")
+        best = around.unionByName(best).groupBy("x").agg(F.min("k").alias("k"))
+    at_i, at_j = best.select(F.col("x").alias("i"), F.col("k").alias("ki")), best.select(F.col("x").alias("j"), F.col("k").alias("kj"))
+    won = keyed.join(at_i, "i").join(at_j, "j").filter((F.col("key") == F.col("ki")) & (F.col("key") == F.col("kj"))).select("i", "j", "shared")
+    members = cut(won.select("i", "j", "shared", F.explode(F.array("i", "j")).alias("image_id")))
+    for size in range(2, group_size):
+        seeds = ["i", "j"]
+        met = sym.select("x", "y", F.col("shared").alias("link")).join(members.withColumnRenamed("image_id", "x"), "x")
+        inside = members.select("i", "j", F.col("image_id").alias("y"))
+        full = met.join(inside, [*seeds, "y"], "left_anti").groupBy(*seeds, "shared", "y").agg(F.count(F.lit(1)).alias("n"), F.min("link").alias("weakest")).filter(F.col("n") == size)
+        best_y = full.groupBy(*seeds, "shared").agg(F.min(F.struct((-F.col("weakest")).alias("w"), "y")).alias("b"))
+        members = cut(members.unionByName(best_y.select("i", "j", "shared", F.col("b.y").alias("image_id"))))
+    return members
 
 
 def thin(pairs: DataFrame, order: DataFrame, tau: float) -> DataFrame:

@@ -331,7 +331,7 @@ def wilson_bounds(spark, sf):
     """,
 )
 def camera_table(spark, sf):
-    cams = camera.harness_cameras(roles.table(spark, sf, "nation"))
+    cams = roles.harness_cameras(roles.table(spark, sf, "nation"))
     return cams.select("camera_id", *[e.cast("double").alias(n) for n, e in camera.intrinsics().items()], camera.has_distortion().alias("distorted"))
 
 

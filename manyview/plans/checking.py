@@ -109,12 +109,28 @@ def ply_vertices(spark, sf):
     return lines(roles.points(spark, sf).withColumns({"r": k % 256, "g": k * 3 % 256, "b": k * 5 % 256}))
 
 
-@query("frame_transforms")
+@query(
+    "frame_transforms",
+    roles.sql(
+        roles.IMAGES_SQL,
+        body="""
+        , r AS (SELECT *, 1 - 2 * (qy * qy + qz * qz) AS a, 2 * (qx * qy - qw * qz) AS b, 2 * (qx * qz + qw * qy) AS c,
+                          2 * (qx * qy + qw * qz) AS d, 1 - 2 * (qx * qx + qz * qz) AS e, 2 * (qy * qz - qw * qx) AS f,
+                          2 * (qx * qz - qw * qy) AS g, 2 * (qy * qz + qw * qx) AS h, 1 - 2 * (qx * qx + qy * qy) AS i FROM images)
+        SELECT image_id, name AS file_path, round(a, 6) AS m00, round(d, 6) AS m01, round(g, 6) AS m02, round(-(a * tx + d * ty + g * tz), 6) AS m03,
+               round(b, 6) AS m10, round(e, 6) AS m11, round(h, 6) AS m12, round(-(b * tx + e * ty + h * tz), 6) AS m13,
+               round(c, 6) AS m20, round(f, 6) AS m21, round(i, 6) AS m22, round(-(c * tx + f * ty + i * tz), 6) AS m23 FROM r
+        """,
+    ),
+)
 def frame_transforms(spark, sf):
-    from ..functions.camera import harness_cameras
+    """The exported camera-to-world matrices, read back from their JSON."""
     from ..sources.export import frame_transforms as frames
 
-    return frames(roles.images(spark, sf), harness_cameras(roles.table(spark, sf, "nation")))
+    out = frames(roles.images(spark, sf), roles.harness_cameras(roles.table(spark, sf, "nation")))
+    row = F.from_json("json", "file_path string, transform_matrix array<array<double>>")
+    cell = [F.round(row["transform_matrix"][k][j], 6).alias(f"m{k}{j}") for k in range(3) for j in range(4)]
+    return out.select("image_id", row["file_path"].alias("file_path"), *cell)
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.camera import harness_cameras, switch_model
+from ..functions.camera import switch_model
 from ..operators import compare, matching, metrics
 from . import roles
 from .matching import SIDES_SQL, _sides
@@ -49,7 +49,7 @@ def compare_extrinsics(spark, sf):
 )
 def compare_intrinsics(spark, sf):
     """Cameras against themselves after switching to a simpler model."""
-    cams = harness_cameras(roles.table(spark, sf, "nation"))
+    cams = roles.harness_cameras(roles.table(spark, sf, "nation"))
     c = compare.compare_intrinsics(cams, switch_model(cams, "SIMPLE_RADIAL"))
     return c.select("camera_id", "parameter", *[r6(k, k) for k in ("a_value", "b_value", "difference")])
 

@@ -8,6 +8,7 @@ from ..functions import vec as V
 from ..operators import coverage, graph, matching, merge, metrics, pairs
 from ..session import cut
 from . import roles
+from .pairing import SHARED_SQL
 from .registry import query, r6
 
 # Two observations of one (image, feature) tie their points together.
@@ -156,10 +157,28 @@ def observation_adjacency(spark, sf):
     return a.select("p", "q", "shared", "hits", r6("sep_median", "sep_median", 5), r6("mismatch", "mismatch", 5))
 
 
-@query("seed_groups")
+# The walk stated as a recursion over the list of live pairs, for groups of three.
+SEED_SQL = """
+el AS (SELECT list({'s': shared, 'i': i, 'j': j} ORDER BY shared DESC, i, j) AS l FROM shared WHERE shared >= 6),
+walk AS (
+  SELECT 0::BIGINT AS g, []::BIGINT[] AS used, []::BIGINT[] AS grp
+  UNION ALL
+  SELECT g + 1, list_concat(used, grp2), grp2 FROM (
+    SELECT g, used, CASE WHEN len(found) = 0 THEN [top.i, top.j] ELSE [top.i, top.j, list_sort(found)[1].k] END AS grp2 FROM (
+      SELECT *, list_transform(list_filter(li, lambda a: len(list_filter(lj, lambda b: b.k = a.k)) > 0), lambda a: {'w': -least(a.s, list_filter(lj, lambda b: b.k = a.k)[1].s), 'k': a.k}) AS found FROM (
+        SELECT *,
+          list_transform(list_filter(live, lambda e: (e.i = top.i AND e.j <> top.j) OR e.j = top.i), lambda e: {'k': CASE WHEN e.i = top.i THEN e.j ELSE e.i END, 's': e.s}) AS li,
+          list_transform(list_filter(live, lambda e: (e.j = top.j AND e.i <> top.i) OR e.i = top.j), lambda e: {'k': CASE WHEN e.i = top.j THEN e.j ELSE e.i END, 's': e.s}) AS lj
+        FROM (SELECT *, live[1] AS top FROM (
+          SELECT g, used, list_filter(l, lambda e: NOT list_contains(used, e.i) AND NOT list_contains(used, e.j)) AS live FROM walk, el) WHERE len(live) > 0)))))
+"""
+
+
+@query(
+    "seed_groups",
+    roles.sql(SHARED_SQL, SEED_SQL, body="SELECT g - 1 AS group_no, unnest(grp) AS image_id FROM walk WHERE g > 0"),
+)
 def seed_groups(spark, sf):
-    """The ten strongest mutually covisible groups."""
+    """All mutually covisible groups of three, strongest first."""
     shared = pairs.shared_counts(roles.track_pairs(spark, sf), "point_id")
-    groups = list(pairs.seed_groups(shared, group_size=3, min_shared=6, max_groups=10))
-    rows = [(i, int(m)) for i, g in enumerate(groups) for m in g]
-    return spark.createDataFrame(rows, "group_no int, image_id long")
+    return pairs.seed_groups(shared, group_size=3, min_shared=6)

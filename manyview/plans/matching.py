@@ -84,9 +84,23 @@ def coordinate_votes(spark, sf):
     return _votes(spark, sf, 1)
 
 
-@query("coordinate_correspondence")
+# The pass over all votes in order, as a recursion: what is used so far is in two lists.
+ONE_TO_ONE_SQL = """
+ranked AS (SELECT *, row_number() OVER (ORDER BY votes DESC, source_point, target_point) AS k FROM votes WHERE votes >= 2),
+pass AS (
+  SELECT 0::BIGINT AS k, []::BIGINT[] AS us, []::BIGINT[] AS ut, false AS took
+  UNION ALL
+  SELECT r.k, CASE WHEN ok THEN list_append(us, r.source_point) ELSE us END, CASE WHEN ok THEN list_append(ut, r.target_point) ELSE ut END, ok
+  FROM (SELECT r.*, p.us, p.ut, NOT list_contains(p.us, r.source_point) AND NOT list_contains(p.ut, r.target_point) AS ok FROM pass p JOIN ranked r ON r.k = p.k + 1) r)
+"""
+
+
+@query(
+    "coordinate_correspondence",
+    roles.sql(roles.OBS_SQL, VOTES_SQL, ONE_TO_ONE_SQL, body="SELECT source_point, target_point, votes FROM ranked JOIN (SELECT k FROM pass WHERE took) USING (k)"),
+)
 def coordinate_correspondence(spark, sf):
-    return M.greedy_one_to_one(_votes(spark, sf, 1))
+    return M.greedy_one_to_one(_votes(spark, sf, 2))
 
 
 EMB_SQL = """

@@ -277,7 +277,18 @@ def sequence_segments(spark, sf):
     return motion.segments(core, lengths)
 
 
-@query("sequence_report")
+@query(
+    "sequence_report",
+    roles.sql(
+        *PATH, STEPS_SQL,
+        body="""
+        , t AS (SELECT seq, avg(step) + 2.5 * stddev_pop(step) AS tl, avg(rot_deg) + 2.5 * stddev_pop(rot_deg) AS rl FROM steps GROUP BY 1)
+        SELECT seq, pos, round(step, 5) AS step, round(rot_deg, 4) AS rot_deg, step > tl AS trans_flag, rot_deg > rl AS rot_flag FROM steps JOIN t USING (seq)
+        """,
+    ),
+)
 def sequence_report(spark, sf):
-    s = motion.motion_path(path(spark, sf))
-    return motion.sequence_report(s, ["step", "rot_deg", "trans_flag", "rot_flag"])
+    """The report's rows, read back from their JSON."""
+    rows = motion.sequence_report(motion.motion_path(path(spark, sf)), ["step", "rot_deg", "trans_flag", "rot_flag"])
+    r = F.from_json("json", "step double, rot_deg double, trans_flag boolean, rot_flag boolean")
+    return rows.select("seq", "pos", r6(r["step"], "step", 5), r6(r["rot_deg"], "rot_deg", 4), r["trans_flag"].alias("trans_flag"), r["rot_flag"].alias("rot_flag"))

@@ -134,7 +134,7 @@ def camera_points(spark, sf):
     """Observations with the point in camera coordinates and the camera's model."""
     o = roles.obs(spark, sf).select("image_id", "point_id", F.col("x").alias("ox"), F.col("y").alias("oy"))
     p = roles.points(spark, sf).filter("w <> 0").select("point_id", *[F.col(c).alias(f"p{c}") for c in "xyz"])
-    cams = camera.harness_cameras(roles.table(spark, sf, "nation"))
+    cams = roles.harness_cameras(roles.table(spark, sf, "nation"))
     j = o.join(p, "point_id").join(roles.images(spark, sf).drop("name"), "image_id").join(cams, "camera_id")
     c = Q.to_camera(Q.quat(*QN), V.vec(*TN), V.vec("px", "py", "pz"))
     return j.select("image_id", "point_id", "ox", "oy", "model", "params", *[e.alias(n) for e, n in zip(c, ("kx", "ky", "kz"))])
@@ -177,7 +177,7 @@ def inlier_fraction(spark, sf):
 )
 def pixel_ray_round_trip(spark, sf):
     """Pixels to rays (iterative inverse) and back through the forward model."""
-    cams = camera.harness_cameras(roles.table(spark, sf, "nation"))
+    cams = roles.harness_cameras(roles.table(spark, sf, "nation"))
     o = roles.obs(spark, sf).select("image_id", "point_id", "x", "y").join(roles.images(spark, sf).select("image_id", "camera_id"), "image_id").join(cams, "camera_id")
     rays = o.withColumn("ray", camera.pixel_ray(F.col("x"), F.col("y"))).select("image_id", "point_id", "model", "params", "ray.*")
     back = camera.with_pixels(rays, ("x", "y", "z"))

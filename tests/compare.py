@@ -51,7 +51,7 @@ def compare(spark, con, sf: str, name: str, fn, sql: str | None) -> tuple[bool,
     cols, got = df.columns, df.collect()
     took = time.time() - t
     if sql is None:
-        return True, f"rows only: {len(got)} rows, {took:.1f}s"
+        return False, f"no SQL to compare {len(got)} rows with, {took:.1f}s"
     t = time.time()
     res = con.execute(sql)
     ocols = [d[0] for d in res.description]

@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
+from manyview.plans import registry
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+entry.queries()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")

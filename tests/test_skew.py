@@ -7,7 +7,7 @@ import statistics
 import numpy as np
 from pyspark.sql import functions as F
 
-from manyview.operators import clusters, filters, graph, knn, matching, motion, pairs, skew
+from manyview.operators import align, clusters, filters, graph, knn, matching, motion, pairs, skew
 
 
 def test_self_pairs_of_a_hot_group(spark):
@@ -144,3 +144,21 @@ def test_widest_angle_of_a_heavy_track(spark):
     got = {r["point_id"]: r["max_angle"] for r in filters.max_viewing_angles(df).collect()}
     for p, m in ((0, d), (1, d[:5])):
         assert abs(got[p] - np.arccos(np.clip(m @ m.T, -1, 1)).max()) < 1e-9
+
+
+def test_seed_groups_of_large_parts(spark, monkeypatch):
+    """Rounds over a part of any size reach what the walk over it reaches."""
+    rng = random.Random(7)
+    rows = {(i, j): rng.randint(1, 30) for i in range(40) for j in range(i + 1, 40) if rng.random() < 0.12 or j - i < 3}
+    df = spark.createDataFrame([(i, j, s) for (i, j), s in rows.items()], "i long, j long, shared long")
+    walked = sorted(map(tuple, pairs.seed_groups(df, group_size=4, min_shared=5).collect()))
+    monkeypatch.setattr(pairs, "LOCAL_PAIRS", 12)
+    assert sorted(map(tuple, pairs.seed_groups(df, group_size=4, min_shared=5).collect())) == walked
+    assert len({m for _, m in walked}) == len(walked)
+
+
+def test_ransac_without_a_hypothesis(spark):
+    same = [(i, 1.0, 1.0, 1.0, float(i), 0.0, 0.0) for i in range(4)]
+    df = spark.createDataFrame(same, "pair_id long, sx double, sy double, sz double, tx double, ty double, tz double")
+    _, inliers = align.ransac_similarity(df, 0.1, iterations=4)
+    assert inliers == 4
