@@ -43,6 +43,8 @@ SIDE = 16
 TEMPLATES = (2048, 1024, 512, 512)
 FEATURES = sum(TEMPLATES) + 1
 ROUNDS = 2
+#: Slices of the weights that are summed apart, so that no task or driver sees more than one sum of each.
+SLICES = 32
 RATE = 0.25
 #: Tokens of a gradient step and of a scoring step.
 STEP = 1 << 15
@@ -174,7 +176,8 @@ def _trained(shared):
         now, seen = train(weights, steps())
         if seen.any():
             flat = np.concatenate(((now.top - weights.top).ravel(), (now.sub - weights.sub).ravel(), seen)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], ["change"])
+            parts = [x.tobytes() for x in np.array_split(flat, SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(parts, pa.binary())], ["slice", "change"])
 
     return run
 
@@ -186,12 +189,12 @@ def fit(docs: DataFrame, class_totals: np.ndarray) -> Weights:
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))
     for r in range(ROUNDS):
         part = docs.filter(~F.col("held_out") & (share == r)).select("text")
-        changes = part.mapInArrow(_trained(sc.broadcast(weights)), "change binary").rdd
-        total = changes.map(lambda row: np.frombuffer(bytes(row["change"]), np.float32)).treeAggregate(
-            np.zeros(1, np.float32), lambda a, b: a + b, lambda a, b: a + b, depth=2
-        )
-        if len(total) == 1:
+        changes = part.mapInArrow(_trained(sc.broadcast(weights)), "slice int, change binary").rdd
+        slices = changes.map(lambda row: (row["slice"], np.frombuffer(bytes(row["change"]), np.float32)))
+        sums = dict(slices.reduceByKey(np.add, numPartitions=SLICES).collect())
+        if not sums:
             continue
+        total = np.concatenate([sums[k] for k in range(SLICES)])
         n_top, n_sub = FEATURES * SIDE, FEATURES * SIDE * SIDE
         seen = np.maximum(total[n_top + n_sub :], 1)
         weights = Weights(
@@ -296,9 +299,8 @@ def score_documents(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFram
     dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     counted = dealt.groupBy("block").applyInArrow(_counted(blocks), "bucket int, block long, h binary, c binary")
     totals = staged(counted.groupBy("bucket").applyInArrow(_added, "block long, bucket int, totals binary"))
-    sums = np.zeros(512, np.int64)
-    for row in totals.filter("block = -1").select("totals").toLocalIterator():
-        sums += np.frombuffer(bytes(row["totals"]), np.int64)
+    each = totals.filter("block = -1").select("totals").rdd.map(lambda r: (0, np.frombuffer(bytes(r["totals"]), np.int64)))
+    sums = dict(each.reduceByKey(np.add, numPartitions=1).collect()).get(0, np.zeros(512, np.int64))
     weights = fit(own, sums[:256])
     score = _scored(spark.sparkContext.broadcast((weights, sums)))
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
