@@ -296,15 +296,15 @@ def score_documents(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFram
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     chars = own.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0] or 0
     blocks = int(chars // block_chars) + 1
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
     counted = dealt.groupBy("block").applyInArrow(_counted(blocks), "bucket int, block long, h binary, c binary")
-    totals = staged(counted.groupBy("bucket").applyInArrow(_added, "block long, bucket int, totals binary"))
+    totals = staged(counted.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(_added, "block long, bucket int, totals binary"))
     each = totals.filter("block = -1").select("totals").rdd.map(lambda r: (0, np.frombuffer(bytes(r["totals"]), np.int64)))
     sums = dict(each.reduceByKey(np.add, numPartitions=1).collect()).get(0, np.zeros(512, np.int64))
     weights = fit(own, sums[:256])
     score = _scored(spark.sparkContext.broadcast((weights, sums)))
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(totals.filter("block >= 0").groupBy("block")).applyInArrow(score, kind)
+    return dealt.groupBy("block").cogroup(totals.filter("block >= 0").repartition(blocks, "block").groupBy("block")).applyInArrow(score, kind)
 
 
 @query("op7_lm_score")

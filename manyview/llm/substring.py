@@ -207,11 +207,11 @@ def dedup_passages(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = own.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64)).first()[0] or 0
     blocks = int(chars // block_chars) + 1
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
     sent = dealt.groupBy("block").applyInArrow(_sent(blocks), "bucket int, block long, d binary, lo binary, several binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answered, "block long, bucket int, flags binary")
+    answers = sent.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(_answered, "block long, bucket int, flags binary")
     kind = "doc_id long, text string, n_chunks long, repeated_words long, removed_words long"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_cut, kind)
+    return dealt.groupBy("block").cogroup(answers.repartition(blocks, "block").groupBy("block")).applyInArrow(_cut, kind)
 
 
 @query("op2_substring_dedup")
