@@ -144,9 +144,10 @@ def not_isolated(points: DataFrame, factor: float, percentile: float = 50.0) ->
 
 
 def small_features(obs: DataFrame, sizes: DataFrame, max_size: float) -> DataFrame:
-    """Points whose largest observed feature is at most ``max_size``: (point_id, max_size)."""
+    """Points whose largest observed feature is at most ``max_size``: (point_id, max_size).
+    A feature is known by its image and its index there."""
     return (
-        obs.join(sizes.select("feature_index", "size"), "feature_index")
+        obs.join(sizes.select("image_id", "feature_index", "size"), ["image_id", "feature_index"])
         .groupBy("point_id")
         .agg(F.max("size").alias("max_size"))
         .filter(F.col("max_size") <= max_size)

@@ -79,21 +79,18 @@ def rig_pairs(image_frames: DataFrame, same_frame: bool, k: int | None = None) -
     return p.select("rig_id", F.least("a_image_id", "b_image_id").alias("i"), F.greatest("a_image_id", "b_image_id").alias("j"))
 
 
-def reach_fraction(pairs: DataFrame, images: DataFrame, min_shared: int) -> DataFrame:
-    """Per image, the fraction of the other images sharing at least ``min_shared``."""
+def reach_fraction(pairs: DataFrame, images: DataFrame, subset: DataFrame, min_shared: int) -> DataFrame:
+    """One row (reached, total, fraction): images that are in ``subset`` or share at least
+    ``min_shared`` with one of its members, among all images. An empty subset reaches none."""
     strong = pairs.filter(F.col("shared") >= min_shared)
-    both = strong.select(F.col("i").alias("image_id")).unionAll(strong.select("j"))
-    total = images.agg(F.count(F.lit(1)).alias("total"))
-    return (
-        images.select("image_id")
-        .join(both.groupBy("image_id").agg(F.count(F.lit(1)).alias("reached")), "image_id", "left")
-        .join(F.broadcast(total), F.lit(True))  # one row
-        .select(
-            "image_id",
-            F.coalesce("reached", F.lit(0)).alias("reached"),
-            (F.coalesce("reached", F.lit(0)) / F.greatest(F.col("total") - 1, F.lit(1))).alias("fraction"),
-        )
+    links = strong.select(F.col("i").alias("member"), F.col("j").alias("image_id")).unionAll(strong.select("j", "i"))
+    member = subset.select("image_id").distinct()
+    near = links.join(member.withColumnRenamed("image_id", "member"), "member", "left_semi").select("image_id")
+    hit = member.unionAll(near).distinct().withColumn("hit", F.lit(1))
+    out = images.select("image_id").distinct().join(hit, "image_id", "left").agg(
+        F.count("hit").alias("reached"), F.count(F.lit(1)).alias("total")
     )
+    return out.withColumn("fraction", F.when(F.col("total") > 0, F.col("reached") / F.col("total")).otherwise(0.0))
 
 
 #: Pairs of a connected part of the graph that one task walks through by itself.

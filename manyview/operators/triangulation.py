@@ -85,17 +85,22 @@ def variance_along(
     return pd.Series(np.where(((~usable) & (part > 1e-18)).any(1), np.inf, var))
 
 
+def _bearing() -> list:
+    """Mean direction of summed rays (sdx, sdy, sdz); where they cancel, the first ray's, the
+    one from the smallest camera centre."""
+    norm = V.norm(V.vec("sdx", "sdy", "sdz"))
+    return [F.when(norm > 0, F.col(f"s{a}") / norm).otherwise(F.col(f"_first.{a}")) for a in ("dx", "dy", "dz")]
+
+
 def depth_uncertainty(rays: DataFrame, solved: DataFrame, sigma: str = "sigma", key: str = "track") -> DataFrame:
     """Depth along the mean ray, its sigma, inverse-depth z and resolvable distance per track."""
     d, c, p = V.vec("dx", "dy", "dz"), V.vec("cx", "cy", "cz"), V.vec("px", "py", "pz")
     mean = rays.groupBy(key).agg(
-        *[F.sum(a).alias(f"s{a}") for a in ("dx", "dy", "dz")], *[F.avg(a).alias(f"m{a}") for a in ("cx", "cy", "cz")]
-    )
-    norm = V.norm(V.vec("sdx", "sdy", "sdz"))
-    mean = mean.withColumn("_n", norm).select(
-        key, *[F.when(F.col("_n") > 0, F.col(f"s{a}") / F.col("_n")).otherwise(F.lit(z)).alias(f"m{a}") for a, z in (("dx", 0.0), ("dy", 0.0), ("dz", 1.0))],
-        "mcx", "mcy", "mcz",
+        *[F.sum(a).alias(f"s{a}") for a in ("dx", "dy", "dz")], *[F.avg(a).alias(f"m{a}") for a in ("cx", "cy", "cz")],
+        F.min(F.struct("cx", "cy", "cz", "dx", "dy", "dz")).alias("_first"),
     )
+    bearing = _bearing()
+    mean = mean.select(key, *[e.alias(f"m{a}") for a, e in zip(("dx", "dy", "dz"), bearing, strict=True)], "mcx", "mcy", "mcz")
     j = rays.join(solved.select(key, "px", "py", "pz"), key).join(mean, key)
     rho = V.norm(V.sub(p, c)) * F.col(sigma)
     w = F.when(rho > 0, 1.0 / (rho * rho)).otherwise(F.lit(0.0))
@@ -115,3 +120,35 @@ def depth_uncertainty(rays: DataFrame, solved: DataFrame, sigma: str = "sigma",
     z = F.when((s > 0) & (s < inf), depth / s).when(s == 0, inf).otherwise(F.lit(0.0))
     reach = F.when(F.col("sig2") > 0, 2.0 * F.sqrt("perp2") / F.sqrt("sig2")).otherwise(inf)
     return out.select(key, depth.alias("depth"), s.alias("depth_sigma"), z.alias("inverse_depth_z"), reach.alias("resolvable_distance"))
+
+
+#: Solves conditioned better than this are finite without a noise test; z-scores
+#: of the inverse depth below the cutoff can't be told from infinity.
+WELL_CONDITIONED = 1e4
+Z_CUTOFF = 4.0
+
+
+def classify_infinity(rays: DataFrame, horizon: float, sigma: str = "sigma", z_cutoff: float = Z_CUTOFF, key: str = "track") -> DataFrame:
+    """Tracks of two rays or more as finite, infinity or indeterminate: (track, n, class, x, y, z, w).
+
+    A well-conditioned solve in front of all cameras is finite. Otherwise a baseline that
+    can't resolve a point at ``horizon`` leaves it open, and a solve that is degenerate, behind
+    or too uncertain puts the track at infinity, in the direction of its mean ray (w = 0).
+    """
+    solved = triangulate(rays, key).filter("n >= 2")
+    unsure = depth_uncertainty(rays, solved, sigma, key)
+    sums = rays.groupBy(key).agg(*[F.sum(a).alias(f"s{a}") for a in ("dx", "dy", "dz")], F.min(F.struct("cx", "cy", "cz", "dx", "dy", "dz")).alias("_first"))
+    bearing = sums.select(key, *[e.alias(f"b{a}") for a, e in zip("xyz", _bearing(), strict=True)])
+    inf = float("inf")
+    sound = F.col("in_front") & (F.col("cond") < inf)
+    for p in ("px", "py", "pz"):
+        sound = sound & ~F.isnan(p) & (F.abs(p) < inf)
+    kind = (
+        F.when(sound & (F.col("cond") < WELL_CONDITIONED), "finite")
+        .when(F.col("resolvable_distance") < horizon, "indeterminate")
+        .when(~sound | (F.col("inverse_depth_z") < z_cutoff), "infinity")
+        .otherwise("finite")
+    )
+    out = solved.join(unsure, key).join(bearing, key).withColumn("class", kind)
+    at = [F.when(F.col("class") == "infinity", F.col(f"b{a}")).otherwise(F.col(f"p{a}")).alias(a) for a in "xyz"]
+    return out.select(key, "n", "class", *at, F.when(F.col("class") == "infinity", 0.0).otherwise(1.0).alias("w"))

@@ -89,18 +89,17 @@ def covisibility_ranking(spark, sf):
     roles.sql(
         SHARED_SQL,
         body="""
-        , sym AS (SELECT i AS image_id FROM shared WHERE shared >= 12 UNION ALL SELECT j FROM shared WHERE shared >= 12),
-        n AS (SELECT image_id, count(*) AS reached FROM sym GROUP BY 1)
-        SELECT s_suppkey AS image_id, coalesce(reached, 0) AS reached,
-               round(CAST(coalesce(reached, 0) AS DOUBLE) / ((SELECT count(*) FROM supplier) - 1), 6) AS fraction
-        FROM supplier LEFT JOIN n ON image_id = s_suppkey
+        , part AS (SELECT s_suppkey AS image_id FROM supplier WHERE s_acctbal > 7000),
+        hit AS (SELECT image_id FROM part UNION SELECT j FROM shared JOIN part ON image_id = i WHERE shared >= 15 UNION SELECT i FROM shared JOIN part ON image_id = j WHERE shared >= 15)
+        SELECT count(*) AS reached, (SELECT count(*) FROM supplier) AS total, round(count(*) / (SELECT count(*) FROM supplier)::DOUBLE, 6) AS fraction FROM hit
         """,
     ),
 )
 def reach_fraction(spark, sf):
+    """How much of the scene the images of the better suppliers see."""
     shared = pairs.shared_counts(roles.track_pairs(spark, sf), "point_id")
-    out = pairs.reach_fraction(shared, roles.images(spark, sf), 12)
-    return out.select("image_id", "reached", r6("fraction", "fraction"))
+    part = roles.table(spark, sf, "supplier").filter("s_acctbal > 7000").select(F.col("s_suppkey").alias("image_id"))
+    return pairs.reach_fraction(shared, roles.images(spark, sf), part, 15).select("reached", "total", r6("fraction", "fraction"))
 
 
 # The sweep stated once more as a recursion: the state is the kept list so far.

@@ -224,12 +224,8 @@ def triangulation_query(spark, sf):
     return t.select("track", "n", *[r6(c, c, 4) for c in ("px", "py", "pz")], r6(F.col("l0") + F.col("l1") + F.col("l2"), "trace"), "in_front")
 
 
-@query(
-    "depth_uncertainty",
-    roles.sql(
-        *SCENE, NOISY_SQL,
-        body="""
-        , mean AS (SELECT track, sx / l AS mx, sy / l AS my, sz / l AS mz, ux, uy, uz FROM (
+UNCERTAIN_SQL = """
+mean AS (SELECT track, sx / l AS mx, sy / l AS my, sz / l AS mz, ux, uy, uz FROM (
                    SELECT *, sqrt(sx * sx + sy * sy + sz * sz) AS l FROM (SELECT track, sum(dx) AS sx, sum(dy) AS sy, sum(dz) AS sz, avg(cx) AS ux, avg(cy) AS uy, avg(cz) AS uz FROM ry GROUP BY 1))),
         wt AS (SELECT ry.*, px, py, pz, mx, my, mz, ux, uy, uz, 1.0 / (((px - cx) * (px - cx) + (py - cy) * (py - cy) + (pz - cz) * (pz - cz)) * 1e-6::DOUBLE) AS w
                FROM ry JOIN sol USING (track) JOIN mean USING (track)),
@@ -241,6 +237,14 @@ def triangulation_query(spark, sf):
         v AS (SELECT *, (mx * mx * (d * f - e * e) + my * my * (a * f - c * c) + mz * mz * (a * d - b * b)
                          + 2 * (mx * my * (c * e - b * f) + mx * mz * (b * e - c * d) + my * mz * (b * c - a * e)))
                         / (a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d)) AS var FROM m)
+"""
+
+
+@query(
+    "depth_uncertainty",
+    roles.sql(
+        *SCENE, NOISY_SQL, UNCERTAIN_SQL,
+        body="""
         SELECT track, round(depth, 4) AS depth, round(sqrt(var), 4) AS depth_sigma, round(2 * sqrt(greatest(perp2, 0.0)) / 1e-3::DOUBLE, 2) AS resolvable_distance FROM v
         """,
     ),
@@ -252,6 +256,36 @@ def depth_uncertainty(spark, sf):
     return d.select("track", r6("depth", "depth", 4), r6("depth_sigma", "depth_sigma", 4), r6("resolvable_distance", "resolvable_distance", 2))
 
 
+# Eigenvalue ratio of the 3 x 3 solve in closed form.
+CONDITION_SQL = """
+e1 AS (SELECT *, (a + d + f) / 3 AS q FROM sol),
+e2 AS (SELECT *, sqrt(((a - q) * (a - q) + (d - q) * (d - q) + (f - q) * (f - q) + 2 * (b * b + c * c + e * e)) / 6) AS p FROM e1),
+e3 AS (SELECT *, acos(greatest(-1.0, least(1.0, ((a - q) * ((d - q) * (f - q) - e * e) - b * (b * (f - q) - c * e) + c * (b * e - c * (d - q))) / (2 * p * p * p)))) / 3 AS phi FROM e2),
+cond AS (SELECT track, px, py, pz, n, (q + 2 * p * cos(phi)) / (q + 2 * p * cos(phi + 2.0943951023931953)) AS cond FROM e3),
+front AS (SELECT track, min((px - cx) * dx + (py - cy) * dy + (pz - cz) * dz) > 0 AS in_front FROM sol JOIN ry USING (track) GROUP BY track)
+"""
+
+
+@query(
+    "classify_infinity",
+    roles.sql(
+        *SCENE, NOISY_SQL, UNCERTAIN_SQL, CONDITION_SQL,
+        body="""
+        , j AS (SELECT cond.*, in_front, mx, my, mz, depth / sqrt(var) AS z, 2 * sqrt(greatest(perp2, 0.0)) / 1e-3::DOUBLE AS reach
+                FROM cond JOIN front USING (track) JOIN v USING (track)),
+        k AS (SELECT *, CASE WHEN in_front AND cond < 1e4 THEN 'finite' WHEN reach < 1000 THEN 'indeterminate' WHEN NOT in_front OR z < 4 THEN 'infinity' ELSE 'finite' END AS class FROM j)
+        SELECT track, n, class, round(CASE WHEN class = 'infinity' THEN mx ELSE px END, 4) AS x, round(CASE WHEN class = 'infinity' THEN my ELSE py END, 4) AS y,
+               round(CASE WHEN class = 'infinity' THEN mz ELSE pz END, 4) AS z, CASE WHEN class = 'infinity' THEN 0.0::DOUBLE ELSE 1.0 END AS w FROM k
+        """,
+    ),
+)
+def classify_infinity(spark, sf):
+    """Which tracks a baseline can tell from points at infinity."""
+    rays = noisy_rays(spark, sf).withColumn("sigma", F.lit(1e-3))
+    c = triangulation.classify_infinity(rays, horizon=1000.0)
+    return c.select("track", "n", "class", *[r6(a, a, 4) for a in "xyz"], "w")
+
+
 def _sim_pairs(spark, sf):
     p = roles.points(spark, sf).filter("w <> 0").select(F.col("point_id").alias("pair_id"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"))
     moved = align.transform_points(p.withColumns({"tx": F.col("sx"), "ty": F.col("sy"), "tz": F.col("sz")}), SIM, ("tx", "ty", "tz"), w=None)

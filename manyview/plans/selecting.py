@@ -136,13 +136,15 @@ def isolated_point_filter(spark, sf):
     "large_feature_filter",
     roles.sql(
         roles.OBS_SQL,
-        body="""SELECT point_id, CAST(max(p_size) AS BIGINT) AS max_size FROM obs JOIN part ON p_partkey = feature_index
-                GROUP BY 1 HAVING max(p_size) <= 30""",
+        body="""SELECT point_id, CAST(max(p_size + image_id % 9) AS BIGINT) AS max_size FROM obs JOIN part ON p_partkey = feature_index
+                GROUP BY 1 HAVING max(p_size + image_id % 9) <= 36""",
     ),
 )
 def large_feature_filter(spark, sf):
-    sizes = roles.table(spark, sf, "part").select(F.col("p_partkey").alias("feature_index"), F.col("p_size").cast("long").alias("size"))
-    return filters.small_features(roles.obs(spark, sf), sizes, 30)
+    seen = roles.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("image_id"), F.col("l_partkey").alias("feature_index")).distinct()
+    part = roles.table(spark, sf, "part").select(F.col("p_partkey").alias("feature_index"), "p_size")
+    sizes = seen.join(part, "feature_index").withColumn("size", (F.col("p_size") + F.col("image_id") % 9).cast("long"))
+    return filters.small_features(roles.obs(spark, sf), sizes, 36)
 
 
 @query(

@@ -162,3 +162,24 @@ def test_ransac_without_a_hypothesis(spark):
     df = spark.createDataFrame(same, "pair_id long, sx double, sy double, sz double, tx double, ty double, tz double")
     _, inliers = align.ransac_similarity(df, 0.1, iterations=4)
     assert inliers == 4
+
+
+def test_classes_of_tracks(spark):
+    """Parallel rays over a wide base are at infinity, over a short one open, crossing ones finite."""
+    from manyview.operators import triangulation
+
+    def ray(track, c, p):
+        d = np.array(p, float) - c
+        d /= np.linalg.norm(d)
+        return (track, *map(float, d), *map(float, c), 1e-3)
+
+    rows = [ray(1, np.array([x, 0, 0.0]), (0, 0, 10)) for x in (-1.0, 0.0, 1.0)]
+    rows += [(2, 0.0, 0.0, 1.0, x, 0.0, 0.0, 1e-3) for x in (-5.0, 0.0, 5.0)]
+    rows += [(3, 0.0, 0.0, 1.0, x, 0.0, 0.0, 1e-3) for x in (-0.001, 0.001)]
+    rows += [ray(4, np.array([x, 0, 0.0]), (0, 0, -1e6)) for x in (-5.0, 5.0)]
+    rows += [(5, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1e-3)]
+    df = spark.createDataFrame(rows, "track long, dx double, dy double, dz double, cx double, cy double, cz double, sigma double")
+    got = {r["track"]: r for r in triangulation.classify_infinity(df, horizon=100.0).collect()}
+    assert {t: r["class"] for t, r in got.items()} == {1: "finite", 2: "infinity", 3: "indeterminate", 4: "infinity"}
+    assert got[2]["w"] == 0.0 and np.allclose([got[2][a] for a in "xyz"], [0, 0, 1])
+    assert np.allclose([got[1][a] for a in "xyz"], [0, 0, 10])
