@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import matching as M
 from ..operators import merge, pairs
-from ..operators.knn import nearest_in_group
 from . import roles
 from .registry import query, r6
 
@@ -112,45 +111,39 @@ def _d2(a: str, b: str) -> str:
     return f"list_sum(list_transform(range(1, len({a}) + 1), lambda k: ({a}[k]::DOUBLE - {b}[k]::DOUBLE) * ({a}[k]::DOUBLE - {b}[k]::DOUBLE)))"
 
 
-@query(
-    "best_candidate_match",
-    roles.sql(
-        EMB_SQL,
-        body=f"""
-        , c AS (SELECT q.row_id AS qid, t.row_id AS cid, {_d2('q.descriptor', 't.descriptor')} AS d2
-                FROM emb q JOIN emb t ON t.image_id = (q.image_id + 1) % 10)
-        SELECT qid, cid, round(d2, 6) AS d2 FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d2, cid) = 1) WHERE d2 <= 1.0
-        """,
-    ),
-)
-def best_candidate_match(spark, sf):
-    m = _nearest_next_image(spark, sf).filter(F.col("d2") <= 1.0)
-    return m.select("qid", "cid", r6("d2", "d2"))
+# Every query lists twenty targets anywhere in the table; a listed row that doesn't exist is skipped.
+LISTED_SQL = """
+listed AS (SELECT q.row_id AS qid, k AS ord, (q.row_id * 13 + k * 17 + 1) % 409 AS cid, q.descriptor AS qd FROM emb q, (SELECT unnest(range(20)) AS k)),
+c AS (SELECT qid, ord, cid, {d2} AS d2 FROM listed JOIN emb t ON t.row_id = cid),
+b AS (SELECT qid, cid, d2 FROM c WHERE d2 <= trunc({t}::DOUBLE * {t}::DOUBLE) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d2, ord, cid) = 1)
+"""
+LISTED_THRESHOLD = 1.5
+
 
+def _listed_sql() -> str:
+    return LISTED_SQL.format(d2=_d2("qd", "t.descriptor"), t=LISTED_THRESHOLD)
 
-def _nearest_next_image(spark, sf):
-    """Best match of every descriptor in the following image."""
+
+def _best_listed(spark, sf):
     c = roles.corpus(spark, sf)
-    q = c.select(F.col("image_id").alias("pair"), F.col("row_id").alias("qid"), F.col("descriptor").alias("vec"))
-    t = c.select(((F.col("image_id") + 9) % 10).alias("pair"), F.col("row_id").alias("cid"), F.col("descriptor").alias("vec"))
-    return nearest_in_group(q, t, "pair").withColumn("d2", F.col("dist") * F.col("dist"))
+    q = c.select(F.col("row_id").alias("qid"), "descriptor")
+    ord_ = F.explode(F.sequence(F.lit(0), F.lit(19)))
+    listed = q.select("qid", ord_.alias("ord")).withColumn("cid", (F.col("qid") * 13 + F.col("ord") * 17 + 1) % 409)
+    listed = listed.join(c.select(F.col("row_id").alias("cid"), "descriptor"), "cid")
+    return M.best_candidates(q, listed, LISTED_THRESHOLD)
+
+
+@query("best_candidate_match", roles.sql(EMB_SQL, _listed_sql(), body="SELECT qid, cid, round(d2, 6) AS d2 FROM b"))
+def best_candidate_match(spark, sf):
+    return _best_listed(spark, sf).select("qid", "cid", r6("d2", "d2"))
 
 
 @query(
     "one_match_per_target",
-    roles.sql(
-        EMB_SQL,
-        body=f"""
-        , c AS (SELECT q.row_id AS qid, t.row_id AS cid, {_d2('q.descriptor', 't.descriptor')} AS d2
-                FROM emb q JOIN emb t ON t.image_id = (q.image_id + 1) % 10),
-        b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d2, cid) = 1)
-        SELECT qid, cid, round(d2, 6) AS d2 FROM b QUALIFY row_number() OVER (PARTITION BY cid ORDER BY d2, qid) = 1
-        """,
-    ),
+    roles.sql(EMB_SQL, _listed_sql(), body="SELECT qid, cid, round(d2, 6) AS d2 FROM b QUALIFY row_number() OVER (PARTITION BY cid ORDER BY d2, qid) = 1"),
 )
 def one_match_per_target(spark, sf):
-    m = M.one_per_target(_nearest_next_image(spark, sf))
-    return m.select("qid", "cid", r6("d2", "d2"))
+    return M.one_per_target(_best_listed(spark, sf)).select("qid", "cid", r6("d2", "d2"))
 
 
 SWEEP_SQL = """

@@ -104,7 +104,8 @@ def reach_fraction(spark, sf):
 
 # The sweep stated once more as a recursion: the state is the kept list so far.
 THIN_SQL = """
-keyed AS (SELECT s_suppkey AS image_id, row_number() OVER (ORDER BY -s_acctbal, s_suppkey) AS k FROM supplier),
+near AS (SELECT image_id, min(mean_disp) AS d FROM (SELECT i AS image_id, mean_disp FROM disp UNION ALL SELECT j, mean_disp FROM disp) GROUP BY 1),
+keyed AS (SELECT s_suppkey AS image_id, row_number() OVER (ORDER BY round(-coalesce(d, 'inf'), 6), s_suppkey) AS k FROM supplier LEFT JOIN near ON image_id = s_suppkey),
 sym AS (SELECT i AS image_id, j AS other, shared FROM shared UNION ALL SELECT j, i, shared FROM shared),
 rows_of AS (SELECT k, keyed.image_id, map_from_entries(list((other, shared))) AS m FROM keyed LEFT JOIN sym USING (image_id) GROUP BY 1, 2),
 sweep AS (
@@ -120,20 +121,21 @@ sweep AS (
 def _sweep_order(spark, sf):
     from ..operators.skew import global_rank
 
-    o = roles.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("image_id"), (-F.col("s_acctbal")).alias("v"))
+    o = pairs.isolation_order(pairs.mean_displacement(_members_xy(spark, sf)), roles.images(spark, sf))
+    o = o.select("image_id", F.round(-F.col("isolation"), 6).alias("v"))
     return global_rank(o, ["v", "image_id"], out="rank").select("image_id", "rank")
 
 
 @query(
     "redundancy_thinning",
     roles.sql(
-        SHARED_SQL, THIN_SQL.format(tau="12.0"),
+        SHARED_SQL, roles.OBS_SQL, DISP_SQL, THIN_SQL.format(tau="20.0"),
         body="SELECT unnest(kept) AS image_id FROM (SELECT kept FROM sweep ORDER BY k DESC LIMIT 1)",
     ),
 )
 def redundancy_thinning(spark, sf):
     shared = pairs.shared_counts(roles.track_pairs(spark, sf), "point_id")
-    return pairs.thin(shared, _sweep_order(spark, sf), 12.0)
+    return pairs.thin(shared, _sweep_order(spark, sf), 20.0)
 
 
 @query(

@@ -183,3 +183,12 @@ def test_classes_of_tracks(spark):
     assert {t: r["class"] for t, r in got.items()} == {1: "finite", 2: "infinity", 3: "indeterminate", 4: "infinity"}
     assert got[2]["w"] == 0.0 and np.allclose([got[2][a] for a in "xyz"], [0, 0, 1])
     assert np.allclose([got[1][a] for a in "xyz"], [0, 0, 10])
+
+
+def test_thin_to_a_target(spark):
+    rng = random.Random(3)
+    rows = [(i, j, rng.randint(1, 40)) for i in range(30) for j in range(i + 1, 30) if rng.random() < 0.4]
+    df = spark.createDataFrame(rows, "i long, j long, shared long")
+    order = spark.createDataFrame([(i, i) for i in range(30)], "image_id long, rank long")
+    kept = {r["image_id"] for r in pairs.thin_to(df, order, 8, iterations=4).collect()}
+    assert 0 in kept and 1 <= len(kept) <= 30
