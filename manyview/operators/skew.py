@@ -27,7 +27,8 @@ def self_pairs(
 ) -> DataFrame:
     """Pairs ``a.item < b.item`` inside each group, in cells of at most block x block.
 
-    A group of n rows is hashed into ceil(n / block) blocks; row r of block k
+    A group of n rows is hashed (by whole rows, so that an item that repeats is spread too)
+    into ceil(n / block) blocks; row r of block k
     visits the cells (min(k, m), max(k, m)) of the triangle, so the work of a hot
     group is spread evenly. Ordinary groups have one block and are not copied.
     ``condition`` (over ``a_*`` and ``b_*`` columns) is evaluated inside the join.
@@ -42,7 +43,7 @@ def self_pairs(
         .select(*group, F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_nb"))
     )
     sized = df.join(heavy, group, "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
-    blk = F.pmod(F.xxhash64(item), F.col("_nb").cast("long")).cast("int")
+    blk = F.pmod(F.xxhash64(*rest), F.col("_nb").cast("long")).cast("int")
     celled = (
         sized.withColumn("_blk", blk)
         .withColumn("_m", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
