@@ -8,9 +8,9 @@ the tree's depth. Each level of the forest works in two steps:
 1. Neighbours: in every region each node meets the node before it in signature order (the
    longest common prefix) and the region's centre. Its best partner of either kind is
    confirmed on the full sets. That is linear in the rows, however large a region is, and
-   joins most of a group of near copies into one component.
-2. Rest: only regions that still hold several components are looked at again. Every pair of
-   nodes of different components is compared by signature; nodes with a possible link meet
+   joins most of a group of near copies.
+2. Rest: only regions whose nodes aren't all known to be connected are looked at again. Every
+   pair of nodes not known to be is compared by signature; nodes with a possible link meet
    again in their cell with their full sets, where exact links are found by a matrix product
    and a spanning forest of them comes out. No list of pairs ever leaves a task.
 
@@ -321,6 +321,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.filter(100 * F.col("_i") >= PERCENT * (F.size("_sa") + F.size("_sb") - F.col("_i"))).select("a", "b")
 
 
+def _labels(links: DataFrame, steps: int = 2) -> DataFrame:
+    """(node, root) of the linked nodes, equal only where nodes are connected: the smallest node
+    within ``steps`` links. A centre's group agrees after two; what doesn't is looked at again."""
+    sym = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    label = sym.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
+    for _ in range(steps):
+        around = sym.join(label.withColumnRenamed("node", "u"), "u").select(F.col("v").alias("node"), "root")
+        label = around.unionByName(label).groupBy("node").agg(F.min("root").alias("root"))
+    return label
+
+
 def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root) of every node."""
     found = connected_components(links, "a", "b")
@@ -395,7 +406,7 @@ class _Forest:
         """Adds the links found at this level; the nodes that need the next one."""
         rows = self.rows(nodes, level)
         self.meet(rows, nodes, level)
-        rooted = rows.join(_roots(self.nodes, self.links), "node")
+        rooted = rows.join(staged(_labels(self.links)), "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key")
         left = staged(rooted.join(mixed, "key"))
         last = level + 1 == len(LEVELS)
