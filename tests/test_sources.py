@@ -12,7 +12,7 @@ from manyview.sources import archive, colmap, matchdb
 def test_model_round_trip(spark, tmp_path):
     sources.register(spark)
     cams = spark.createDataFrame(
-        [(1, "SIMPLE_RADIAL", 270, 480, {"focal_length": 344.0, "principal_point_x": 135.0, "principal_point_y": 240.0, "radial_distortion_k1": 0.035})],
+        [(1, "SIMPLE_RADIAL", 600, 400, {"focal_length": 512.0, "principal_point_x": 301.0, "principal_point_y": 199.0, "radial_distortion_k1": 0.02})],
         colmap.SCHEMAS["cameras"].replace("model_dir string, ", ""),
     )
     imgs = spark.createDataFrame([(7, "a/b (3).jpg", 1, 1.0, 0.0, 0.0, 0.0, 0.5, 0.25, -1.0), (9, "c.jpg", 1, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0)],
