@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .registry import query
-from .text import _SPACE, Words, buffers, mix, pieces, powers, table, windows, words
+from .text import SPACE, Words, mix, pieces, powers, table, windows, words
 
 SYMBOLS = b"#*$%&|<>"
 #: Frequent function words of the corpus' languages.
@@ -108,7 +108,7 @@ def _repeated(w: Words) -> np.ndarray:
 def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     """The counts of each text, by name."""
     w = words(texts, lower=False)
-    space = _SPACE[w.raw]
+    space = SPACE[w.raw]
     n_lines, n_dup = _lines(w)
     size = w.end - w.start
     marked = (size >= 2) & _MARK[w.raw[w.end - 1]] & _MARK[w.raw[np.maximum(w.end - 2, 0)]] if len(w.hash) else np.zeros(0, bool)

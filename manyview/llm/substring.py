@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .registry import query
-from .text import _SPACE, buffers, mix, pieces, powers, table
+from .text import SPACE, buffers, mix, pieces, powers, table
 
 MIN_WORDS = 18
 #: Bytes before and after a cut whose hashes it is compared with; at most 15, as the first
@@ -183,7 +183,7 @@ def _cut(t: pa.Table, answers: pa.Table) -> pa.Table:
         once = np.zeros(len(k), bool)
         once[np.unique(mix(c.digest ^ mix(c.doc.astype(np.uint64))), return_index=True)[1]] = True
         first &= once
-        inside = ~_SPACE[raw]
+        inside = ~SPACE[raw]
         word = inside.copy()
         word[1:] &= ~inside[:-1]
         edge = offs[:-1][offs[:-1] < offs[1:]]

@@ -24,8 +24,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one numpy step takes at most (a single longer text is one step).
 PIECE = 1 << 20
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -43,7 +43,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _byte_values(lower: bool) -> np.ndarray:
     v = mix((np.arange(1, 257, dtype=np.uint64)) * _BASE)
-    v[_SPACE] = 0
+    v[SPACE] = 0
     return v[_LOWER] if lower else v
 
 
@@ -112,7 +112,7 @@ def words(texts: pa.Array, lower: bool = True) -> Words:
     none = np.zeros(0, np.int64)
     if len(raw) == 0:
         return Words(raw, offs, none, none, np.zeros(0, np.uint64), np.zeros(len(offs), np.int64))
-    inside = ~_SPACE[raw]
+    inside = ~SPACE[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -156,11 +156,6 @@ def windows(w: Words, n: int = 5, short: bool = False) -> tuple[np.ndarray, np.n
     return out, at
 
 
-def code_points(raw: np.ndarray) -> np.ndarray:
-    """Running count of code points before each byte, with one more entry for the end."""
-    return np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
-
-
 def shared_folder(df: DataFrame) -> str:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)

@@ -172,10 +172,7 @@ def test_decontamination(spark):
         9: messy.sentence(rng, 5000) + " " + items[0] + " " + items[3],
     }
     bench = spark.createDataFrame(list(enumerate(items)) + [(0, items[0])], "item_id long, text string")
-    docs = spark.createDataFrame([(i, t, "c") for i, t in texts.items()] * 2, "doc_id long, text string, _before string").repartition(3)
-    with pytest.raises(Exception):
-        docs.select("nothing")
-    docs = docs.withColumnRenamed("_before", "item_id")
+    docs = spark.createDataFrame([(i, t, "c") for i, t in texts.items()] * 2, "doc_id long, text string, item_id string").repartition(3)
     found = {r["doc_id"]: r["_leak"] for r in decontam.leaks(docs, bench).collect()}
     assert {i: v and v["item_id"] for i, v in found.items()} == {1: 0, 2: 1, 3: 2, 4: None, 5: None, 6: None, 7: None, 8: 5, 9: 0}
     assert found[9]["n_items"] == 2 and found[1]["similarity"] == 1.0 and 0.75 <= found[3]["similarity"] < 1

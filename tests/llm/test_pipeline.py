@@ -10,7 +10,6 @@ from manyview.llm import mixing
 from . import messy
 
 
-
 def corpus():
     rng = random.Random(21)
     items = [messy.sentence(rng, 30) for _ in range(4)]
