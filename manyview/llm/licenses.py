@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .registry import query
-from .text import n_words, staged, table
+from .text import WORD, n_words, staged, table
 
 #: Statements by license. The licenses' own public names and opening sentences.
 TEMPLATES = {
@@ -148,7 +148,38 @@ def doc_path() -> Column:
     return F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
 
 
-@query("op1_license_scan")
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TERM_SQL = r"regexp_extract_all(lower({c}), '[a-z0-9]+(?:[.\-][a-z0-9]+)*')"
+SCAN_SQL = rf"""
+WITH d AS (SELECT doc_id, concat_ws('/', source, lang, doc_id || '.txt') AS path, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+p AS (SELECT doc_id, trim(unnest(string_split(regexp_replace(line, '([.;!?])\s+', '\1' || chr(1), 'g'), chr(1)))) AS s FROM l WHERE regexp_matches(line, '{CUE}')),
+said AS (SELECT DISTINCT doc_id, s FROM p WHERE regexp_matches(s, '{CUE}')),
+st AS (SELECT s, count(*) AS files FROM said GROUP BY s),
+n AS (SELECT count(*) AS n FROM documents),
+df AS (SELECT term, sum(files) AS df FROM (SELECT s, files, unnest(list_distinct({_TERM_SQL.format(c="s")})) AS term FROM st) GROUP BY term),
+idf AS (SELECT term, ln((n + 1) / (least(df, n) + 1)) + 1 AS idf FROM df, n),
+known(license, t) AS (VALUES {", ".join(f"({_quoted(name)}, {_quoted(t)})" for name, ts in TEMPLATES.items() for t in ts)}),
+v AS (SELECT s, term, count(*) * any_value(idf) AS w FROM (SELECT s, unnest({_TERM_SQL.format(c="s")}) AS term FROM st) JOIN idf USING (term) GROUP BY s, term),
+u AS (SELECT license, t, term, count(*) * any_value(coalesce(idf, ln(n + 1) + 1)) AS w FROM (SELECT license, t, unnest({_TERM_SQL.format(c="t")}) AS term FROM known) LEFT JOIN idf USING (term), n GROUP BY license, t, term),
+vn AS (SELECT s, sqrt(sum(w * w)) AS sn FROM v GROUP BY s),
+un AS (SELECT license, t, sqrt(sum(w * w)) AS tn FROM u GROUP BY license, t),
+dot AS (SELECT s, license, t, sum(v.w * u.w) AS dot FROM v JOIN u USING (term) GROUP BY s, license, t),
+sc AS (SELECT s, license, round(dot / (sn * tn), 9) AS score FROM dot JOIN vn USING (s) JOIN un USING (license, t)),
+best AS (SELECT s, license, score FROM sc QUALIFY row_number() OVER (PARTITION BY s ORDER BY score DESC, license) = 1),
+hit AS (SELECT doc_id, license, score, len(regexp_extract_all(s, '{WORD}')) AS k FROM said JOIN best USING (s) WHERE score >= {SIMILAR}),
+own AS (SELECT d.doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, h.license, h.score, coalesce(k, 0) / greatest(len(regexp_extract_all(text, '{WORD}')), 1) AS share
+  FROM d LEFT JOIN (SELECT doc_id, arg_min(license, (-score, license)) AS license, max(score) AS score, sum(k) AS k FROM hit GROUP BY doc_id) h ON h.doc_id = d.doc_id),
+dirs AS (SELECT dir AS top, arg_min(license, (-score, license)) AS dir_license FROM own WHERE license IS NOT NULL AND (regexp_matches(path, '{FILE_NAME}') OR share >= {FILE_SHARE}) GROUP BY dir),
+near AS (SELECT o.dir, top, dir_license FROM (SELECT DISTINCT dir FROM own) o JOIN dirs ON o.dir = top OR starts_with(o.dir, top || '/') QUALIFY row_number() OVER (PARTITION BY o.dir ORDER BY length(top) DESC) = 1)
+SELECT doc_id, license, round(score, 6) AS score, coalesce(license, dir_license) AS effective, CASE WHEN license IS NULL THEN top END AS inherited_from
+FROM own LEFT JOIN near ON near.dir = own.dir"""
+
+
+@query("op1_license_scan", SCAN_SQL)
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), doc_path().alias("path"), "text")
     out = inherit(own_licenses(docs))

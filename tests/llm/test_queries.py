@@ -6,7 +6,7 @@ import pytest
 from manyview.llm import queries
 
 #: Without SQL; the other modules here hold these against brute force.
-BY_BRUTE_FORCE = {"op1_license_scan", "op2_substring_dedup", "op6_personal_data", "op7_lm_score", "op10_quality_rules"}
+BY_BRUTE_FORCE = {"op2_substring_dedup", "op6_personal_data", "op7_lm_score", "op10_quality_rules"}
 
 
 @pytest.fixture(scope="module")
