@@ -174,9 +174,10 @@ def _rules() -> dict[str, Column]:
 #: the rule is wrong.
 PRIOR = {"good": (0.17, 0.01, 0.82), "own": (1e-6, 1 - 2e-6, 1e-6), "other": (0.20, 0.10, 0.70)}
 PRIOR_DOCS = 2.0
-#: How often a rule says low of a good document; believed as firmly as the corpus itself, so
-#: that what EM learns of a defect hardly depends on how rare it or the corpus is.
-WRONG = 1e-4
+#: Share of a rule's low votes that fall on good documents; believed as firmly as those votes
+#: themselves. It is no rate in the corpus, so neither the rarity of a defect nor the number
+#: of documents moves the verdict.
+WRONG = 1e-3
 GOOD_SHARE = 0.85
 ROUNDS = 100
 
@@ -200,10 +201,10 @@ def expectation_maximisation(votes: np.ndarray, count: np.ndarray) -> tuple[np.n
         weight = p * count[:, None]
         seen = np.stack([weight.T @ (votes == v) for v in range(3)], axis=2)
         seen[0] += PRIOR_DOCS * prior[0]
-        seen[0, :, 1] = (weight[:, 0] @ low + WRONG * count.sum()) / 2
+        seen[0, :, 1] = (weight[:, 0] @ low + WRONG * (count @ low + PRIOR_DOCS)) / 2
         usual = seen[0] / seen[0].sum(axis=1, keepdims=True)
         # Of a rare defect too little is known to say that other rules vote unusually.
-        seen[1:] += PRIOR_DOCS * (0.8 * usual + 0.2 * prior[1:])
+        seen[1:] += PRIOR_DOCS * usual
         seen[np.arange(1, k + 1), np.arange(k)] = PRIOR["own"]
         vote = np.log(seen / seen.sum(axis=2, keepdims=True))
         total = weight.sum(axis=0) + PRIOR_DOCS * shares0

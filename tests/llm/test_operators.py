@@ -78,6 +78,20 @@ def test_expectation_maximisation():
         assert (good[:3] > 0.99).all() and (good[3:] < 0.1).all()
 
 
+def test_rare_defects_count_at_any_size():
+    """One low vote weighs the same however rare its kind and however large the corpus is."""
+    votes = np.full((5, 10), 2)
+    votes[:, 9] = 0
+    votes[1, 1] = votes[2, 5] = votes[3, 7] = 1
+    votes[4, [0, 2]] = 0
+    for n in (1e4, 1e5, 1e6, 1e8):
+        for rate in (1e-3, 1e-4, 1e-5, 1e-6):
+            rare = max(n * rate, 1)
+            count = np.array([n, rare, rare, 5 * rare, n / 5])
+            good = quality.posterior(votes, quality.expectation_maximisation(votes, count))[:, 0]
+            assert good[0] > 0.99 and good[4] > 0.99 and (good[1:4] < 0.1).all(), (n, rate, good)
+
+
 # --- 9: line dedup
 
 
