@@ -216,6 +216,43 @@ def test_index_finds_all_within_the_radius():
     assert set(zip(win.tolist(), item.tolist(), strict=True)) == want
 
 
+def best_similarities(items, text):
+    """Weighted Jaccard of each item and the best window of its length, by every window."""
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    sets = [shingles(x.split()) for x in items]
+    many = Counter(s for x in sets for s in x)
+    weigh = lambda x: sum(1 / many[s] if s in many else 1 for s in x)
+    w, out = text.split(), []
+    for x, own in zip(items, sets, strict=True):
+        n = len(x.split())
+        wins = [shingles(w[i : i + n]) for i in range(len(w) - n + 1)]
+        out.append(max((weigh(own & v) / weigh(own | v) for v in wins), default=0))
+    return out
+
+
+def test_windows_near_the_threshold(spark):
+    """Words changed in a row, or in a lead-in of all items, turn many bits; all are found."""
+    rng = random.Random(11)
+    lead = messy.sentence(rng, 9)
+    items = [messy.sentence(rng, n) for n in (40, 50, 100, 200)] + [lead + " " + messy.sentence(rng, 31) for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        for x, cut in zip(items[:5], (5, 6, 13, 27, 7), strict=True):
+            words = x.split()
+            at = 0 if x.startswith(lead) else rng.choice((0, len(words) - cut))
+            words[at : at + cut] = messy.sentence(rng, cut).split()
+            texts.append(" ".join(words))  # more text would hold other windows as similar
+    want = []
+    for t in texts:
+        sims = best_similarities(items, t)
+        k = max(range(len(items)), key=lambda j: (round(sims[j], 9), -j))
+        want.append((k, round(sims[k], 6), sum(v >= 0.75 for v in sims)) if sims[k] >= 0.75 else None)
+    assert all(want)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = decontam.leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).orderBy("doc_id").collect()
+    assert [v and (v["item_id"], round(v["similarity"], 6), v["n_items"]) for v in (r["_leak"] for r in got)] == want
+
+
 # --- 6: personal data
 
 PATTERNS = [
