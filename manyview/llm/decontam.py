@@ -16,7 +16,8 @@ in a row, or where the item's shingles weigh little, turn many bits), so windows
 The benchmark is broadcast in groups of at most ``GROUP_WORDS`` words; a larger one takes
 several passes over the documents instead of a larger broadcast. Documents never shuffle.
 
-Defined results: null and empty texts have no windows; items without words match nothing;
+Defined results: null and empty texts have no windows; a text shorter than an item is one
+window for it (``LEAK_SQL`` has none there); items without words match nothing;
 items of fewer than five words have one shingle, the whole item; repeated rows and
 items are alike (ties go to the smaller item_id); a row without doc_id is treated like any
 other; an empty benchmark leaves all documents clean; other columns pass through (one
@@ -117,7 +118,8 @@ class Items:
 
 
 def heavy(items: Items, at: np.ndarray, owner: np.ndarray, which: np.ndarray, width: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, item) for every window of n words that shares enough weight to reach SIMILAR.
+    """(window, item) for every window of a text of n words that shares enough weight to reach
+    SIMILAR; for items longer than the text, the whole text is the window.
 
     ``at``, ``owner`` and ``which`` are the places of shingles in the text, an item that has
     the shingle, and the shingle. A shingle found twice counts twice, so this is a bound.
@@ -130,7 +132,7 @@ def heavy(items: Items, at: np.ndarray, owner: np.ndarray, which: np.ndarray, wi
     sums = np.add.reduceat(items.weight[which], first) if len(first) else np.zeros(0)
     for j in np.flatnonzero(sums >= enough[owner[first]]).tolist():
         k, own = owner[first[j]], slice(first[j], first[j + 1] if j + 1 < len(first) else len(owner))
-        length, w = int(items.size[k]), items.weight[which[own]]
+        length, w = min(int(items.size[k]), n), items.weight[which[own]]
         # A shingle's weight comes in at the first window that holds it and goes after the last.
         lo, hi = np.maximum(at[own] - length + width, 0), np.minimum(at[own], n - length) + 1
         edge, where = np.unique(np.concatenate((lo, hi)), return_inverse=True)
@@ -158,8 +160,9 @@ def _text_leaks(items: Items, h: np.ndarray, g: np.ndarray) -> list[tuple[int, f
         many = items.has_at[which + 1] - items.has_at[which]
         owner = items.has[np.repeat(items.has_at[which] - np.concatenate(([0], np.cumsum(many)))[:-1], many) + np.arange(many.sum())]
         at, size = np.repeat(pos, many), items.size[owner]
-        ok = (size <= n) & ((size >= SHINGLE) if width == SHINGLE else (size == width))
+        ok = (size >= SHINGLE) if width == SHINGLE else (size == width)
         win, item = heavy(items, at[ok], owner[ok], np.repeat(which, many)[ok], width, n)
+        ok &= size <= n
         pairs = [win * len(items.ids) + item]
         for length in np.unique(size[ok]).tolist():
             near = np.unique(at[ok & (size == length)])

@@ -253,6 +253,21 @@ def test_windows_near_the_threshold(spark):
     assert [v and (v["item_id"], round(v["similarity"], 6), v["n_items"]) for v in (r["_leak"] for r in got)] == want
 
 
+def test_texts_shorter_than_their_item(spark):
+    rng = random.Random(12)
+    item = messy.sentence(rng, 40)
+    w = item.split()
+    texts = [w[:-1], w[:-2], w[1:], w[1:-1], w[:31], w[:30], w[:4], [*w[:20], "x", *w[20:38]]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = decontam.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).orderBy("doc_id").collect()
+    want = [35 / 36, 34 / 36, 35 / 36, 34 / 36, 27 / 36, None, None, 30 / 41]
+    for r, v in zip(got, want, strict=True):
+        if v is None or v < 0.75:
+            assert r["_leak"] is None
+        else:
+            assert r["_leak"]["similarity"] == pytest.approx(v) and r["_leak"]["first_word"] == 0 and r["_leak"]["n_items"] == 1
+
+
 # --- 6: personal data
 
 PATTERNS = [
