@@ -48,7 +48,7 @@ BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Text bytes of a block.
 BLOCK = 8 << 20
 #: Remembered units are forgotten beyond so many tokens; longer units are not remembered.
-REMEMBERED, UNIT_CHARS = 1_000_000, 256
+REMEMBERED, UNIT_CHARS = 2_500_000, 256
 
 # The byte-level split pattern with its classes over Latin text.
 _LETTER, _DIGIT = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -58,6 +58,8 @@ WORD = re.compile(
 )
 #: Characters for which ``WORD`` splits as the byte-level pattern does.
 LATIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ]*")
+#: Any blank of such texts.
+BLANK = re.compile(f"[{_BLANK}]")
 #: A run of blanks with what follows it (and blanks that end the text, as B gives a lone blank
 #: no piece); no piece holds a blank after something else.
 RUN = re.compile(r" +[^ ]+(?: +\Z)?| +")
@@ -70,8 +72,19 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+Encoded = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _bytes_before(text: str) -> np.ndarray:
+    """Byte offset of every character and of the end."""
+    if text.isascii():
+        return np.arange(len(text) + 1)
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.concatenate(([0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF).astype(np.int64))))
+
+
 class ByteLevel:
-    """A: ids and byte ends of the tokens of a unit."""
+    """A: ids and byte ends of the tokens of units."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -81,27 +94,40 @@ class ByteLevel:
         alphabet = byte_alphabet()
         vocabulary = sorted(self.model.get_vocab().items(), key=lambda e: e[1])
         self.bytes = [bytes(alphabet[c] for c in token) if set(token) <= alphabet.keys() else token.encode() for token, _ in vocabulary]
+        self.size = np.array([len(b) for b in self.bytes])
+        self.line_end = self.bytes.index(b"\n")
 
     def units(self, text: str) -> list[str]:
         return WORD.findall(text) if LATIN.fullmatch(text) else [text]
 
-    def encode(self, units: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        for unit, e in zip(units, self.model.encode_batch(units, add_special_tokens=False), strict=True):
-            ids, offsets = e.ids, e.offsets
-            if unit.isascii():
-                yield ids, [end for _, end in offsets]
-                continue
-            at = np.concatenate(([0], np.cumsum([len(c.encode()) for c in unit]))).tolist()
-            ends, last = [], 0
-            for i, (_, end) in enumerate(offsets):
-                inside = i + 1 < len(offsets) and offsets[i + 1][0] < end
-                last = last + len(self.bytes[ids[i]]) if inside else at[end]
-                ends.append(last)
-            yield ids, ends
+    def apart(self, unit: str) -> bool:
+        """Whether the unit is split alike between two line ends."""
+        return LATIN.fullmatch(unit) is not None and BLANK.search(unit, 1) is None and not unit.isspace()
+
+    def _cuts(self, text: str, found) -> tuple[np.ndarray, np.ndarray]:
+        ids, spans = np.array(found.ids, np.int32), np.fromiter(chain.from_iterable(found.offsets), np.int64).reshape(-1, 2)
+        ends = _bytes_before(text)[spans[:, 1]]
+        # A token that ends inside a character, as the next one begins before that character's end.
+        for i in np.flatnonzero(spans[1:, 0] < spans[:-1, 1]):
+            ends[i] = (ends[i - 1] if i else 0) + self.size[ids[i]]
+        return ids, ends
+
+    def one(self, unit: str) -> tuple[np.ndarray, np.ndarray]:
+        return self._cuts(unit, self.model.encode(unit, add_special_tokens=False))
+
+    def many(self, units: list[str]) -> Encoded:
+        """Units that stay apart, in one text with line ends between."""
+        text = "\n".join(units)
+        ids, ends = self._cuts(text, self.model.encode(text, add_special_tokens=False))
+        between = ids == self.line_end
+        ends = ends - np.cumsum(between)
+        at = np.concatenate(([0], np.cumsum(~between)))
+        upto = np.append(at[:-1][between], at[-1])
+        return ids[~between], ends[~between], np.diff(upto, prepend=0)
 
 
 class Pieces:
-    """B: ids and byte ends of the pieces of a unit, which starts with the blank B adds."""
+    """B: ids and byte ends of the pieces of units, which start with the blank B adds."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -109,21 +135,29 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = self.model.get_piece_size()
         names = self.model.id_to_piece(list(range(size)))
-        self.fallback = [self.model.is_byte(i) for i in range(size)]
+        self.fallback = np.array([self.model.is_byte(i) for i in range(size)])
         self.bytes = [bytes([int(p[3:-1], 16)]) if b else p.replace("▁", " ").encode() for p, b in zip(names, self.fallback, strict=True)]
-        self.apart = not any("▁" in p.lstrip("▁") for p in names)
+        self.closed = not any("▁" in p.lstrip("▁") for p in names)
 
     def units(self, text: str) -> list[str]:
-        return RUN.findall(text) if self.apart and LATIN.fullmatch(text) else [text]
+        return RUN.findall(text) if self.closed and LATIN.fullmatch(text) else [text]
+
+    def apart(self, unit: str) -> bool:
+        """Whether the unit is cut alike before another one."""
+        return LATIN.fullmatch(unit) is not None and unit[-1] != " "
 
-    def encode(self, units: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        for found in self.model.encode([u[1:] for u in units], return_type="proto", num_threads=1):
-            ids, ends, last = [], [], 0
-            for p in found.pieces:
-                last = last + 1 if self.fallback[p.id] else 1 + p.end
-                ids.append(p.id)
-                ends.append(last)
-            yield ids, ends
+    def one(self, unit: str) -> tuple[np.ndarray, np.ndarray]:
+        found = self.model.encode(unit[1:], return_type="proto", num_threads=1).pieces
+        ids = np.fromiter([p.id for p in found], np.int32)
+        ends = 1 + np.fromiter([p.end for p in found], np.int64)
+        for i in np.flatnonzero(self.fallback[ids]):
+            ends[i] = (ends[i - 1] if i else 0) + 1
+        return ids, ends
+
+    def many(self, units: list[str]) -> Encoded:
+        ids, ends = self.one("".join(units))
+        last = np.cumsum([len(u.encode()) for u in units])
+        return ids, ends, np.diff(np.searchsorted(ends, last, "right"), prepend=0)
 
 
 class Units(dict):
@@ -137,7 +171,8 @@ class Units(dict):
     def forget(self) -> None:
         self.clear()
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        self.first, self.size, self.valid = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        # By unit: place of the first token, number of tokens, bytes, whether the tokens spell it.
+        self.first, self.count, self.size, self.valid = (np.zeros(0, np.int64) for _ in range(4))
 
     def __missing__(self, unit: str) -> int:
         self.new.append(unit)
@@ -152,23 +187,52 @@ class Units(dict):
         for text in texts:
             units = self.side.units(text)
             out.append(np.fromiter(map(self.__getitem__, units), np.int64, len(units)))
-        done = list(self.side.encode(self.new)) if self.new else []
-        raw = [u.encode() for u in self.new]
-        of = self.side.bytes
-        ok = [b"".join([of[i] for i in ids]) == r for (ids, _), r in zip(done, raw, strict=True)]
-        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(ids for ids, _ in done), np.int32))
-        self.ends = np.append(self.ends, np.fromiter(chain.from_iterable(ends for _, ends in done), np.int64))
-        self.first = np.append(self.first, self.first[-1] + np.cumsum([len(ids) for ids, _ in done], dtype=np.int64))
-        self.size, self.valid = np.append(self.size, [len(r) for r in raw]).astype(np.int64), np.append(self.valid, np.array(ok, bool))
+        if self.new:
+            self._learn()
+        return out
+
+    def _learn(self) -> None:
+        """Encodes the new units, those that stay apart in one text."""
+        size = np.array([len(u.encode()) for u in self.new])
+        easy = np.array([self.side.apart(u) for u in self.new])
+        count, valid, first = np.zeros(len(size), np.int64), np.ones(len(size), np.int64), np.zeros(len(size), np.int64)
+        together = self._together([u for u, e in zip(self.new, easy, strict=True) if e], size[easy]) if easy.any() else None
+        parts, at = [], len(self.ids)
+        if together is None:
+            easy[:] = False
+        else:
+            parts.append(together[:2])
+            count[easy] = together[2]
+            first[easy] = at + np.cumsum(together[2]) - together[2]
+            at += len(together[0])
+        for k in np.flatnonzero(~easy):
+            ids, ends = self.side.one(self.new[k])
+            parts.append((ids, ends))
+            first[k], count[k], valid[k] = at, len(ids), self._spelled(ids) == self.new[k].encode()
+            at += len(ids)
+        self.ids, self.ends = (np.concatenate([old, *(p[i] for p in parts)]) for i, old in enumerate((self.ids, self.ends)))
+        for name, more in (("first", first), ("count", count), ("size", size), ("valid", valid)):
+            setattr(self, name, np.append(getattr(self, name), more))
         for u in self.new:
             if len(u) > UNIT_CHARS:
                 del self[u]
         self.new = []
-        return out
+
+    def _spelled(self, ids: np.ndarray) -> bytes:
+        of = self.side.bytes
+        return b"".join([of[i] for i in ids.tolist()])
+
+    def _together(self, units: list[str], size: np.ndarray) -> Encoded | None:
+        """Tokens of the units with ends within each; none where they don't spell the units one by one."""
+        ids, ends, n = self.side.many(units)
+        last, upto = np.cumsum(size), np.cumsum(n)
+        if len(n) != len(units) or n.min() < 1 or not np.array_equal(ends[upto - 1], last) or self._spelled(ids) != "".join(units).encode():
+            return None
+        return ids, ends - np.repeat(last - size, n), n
 
     def tokens(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, byte ends from the start of the first unit, and the number of tokens up to each unit."""
-        n = self.first[numbers + 1] - self.first[numbers]
+        n = self.count[numbers]
         upto = np.cumsum(n)
         at = np.repeat(self.first[numbers] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)
         before = np.cumsum(self.size[numbers]) - self.size[numbers]
@@ -210,7 +274,8 @@ class Aligner:
         ids_a, end_a, upto_a = self.a.tokens(np.concatenate(ua))
         ids_b, end_b, upto_b = self.b.tokens(np.concatenate(ub))
         n_a, n_b = _per_text(upto_a, ua), _per_text(upto_b, ub)
-        cuts = np.union1d(end_a, end_b)
+        cuts = np.sort(np.concatenate((end_a, end_b)), kind="stable")
+        cuts = cuts[np.diff(cuts, prepend=0) > 0]
         at_a, at_b = np.searchsorted(end_a, cuts), np.searchsorted(end_b, cuts)
         both = (end_a[at_a] == cuts) & (end_b[at_b] == cuts)
         text_end = end_a[np.cumsum(n_a) - 1]
