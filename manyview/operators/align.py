@@ -99,8 +99,11 @@ def transform_recon(recon: Recon, sim: Similarity) -> Recon:
     return out
 
 
-def fit_similarity(pairs: DataFrame) -> Similarity:
-    """Least-squares similarity over pairs (sx, sy, sz) -> (tx, ty, tz)."""
+def fit_similarity(pairs: DataFrame, estimate_scale: bool = True) -> Similarity:
+    """Least-squares similarity over pairs (sx, sy, sz) -> (tx, ty, tz); without scale, a rigid transform.
+
+    Coinciding sources define no scale; it is one then.
+    """
     s, t = ("sx", "sy", "sz"), ("tx", "ty", "tz")
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.avg(c).alias(f"m_{c}") for c in (*s, *t)]
@@ -114,7 +117,7 @@ def fit_similarity(pairs: DataFrame) -> Similarity:
     flip = np.diag([1.0, 1.0, np.sign(np.linalg.det(u) * np.linalg.det(vt))])
     rot = u @ flip @ vt
     var = sum(r[f"v_{c}"] for c in s)
-    scale = float((d * np.diag(flip)).sum() / var)
+    scale = float((d * np.diag(flip)).sum() / var) if estimate_scale and var > 0 else 1.0
     ms, mt = np.array([r[f"m_{c}"] for c in s]), np.array([r[f"m_{c}"] for c in t])
     return Similarity(rot, mt - scale * rot @ ms, scale)
 

@@ -122,14 +122,15 @@ def one_per_target(matches: DataFrame) -> DataFrame:
     )
 
 
-def sweep_candidates(queries: DataFrame, targets: DataFrame, window: int) -> DataFrame:
+def sweep_candidates(queries: DataFrame, targets: DataFrame, window: int, ties: tuple[str, ...] = ()) -> DataFrame:
     """Sorted-Y sweep: each query meets ``window`` consecutive Y-sorted targets of its pair.
 
-    queries (pair, qid, y), targets (pair, cid, y). The window starts after every
+    queries (pair, qid, y), targets (pair, cid, y and ``ties``, which order equal y before
+    the id). The window starts after every
     k with y[k] + y[k + window] < 2 q; both that count and the target ranks come
     from ranks over range partitions, then a join on (pair, rank).
     """
-    t = global_rank(targets.select("pair", "cid", "y"), ["y", "cid"], ["pair"], "trank")
+    t = global_rank(targets.select("pair", "cid", "y", *ties), ["y", *ties, "cid"], ["pair"], "trank")
     n = t.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
     ahead = t.select("pair", (F.col("trank") - window).alias("trank"), F.col("y").alias("y2"))
     mids = t.join(ahead, ["pair", "trank"]).select(

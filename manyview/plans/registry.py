@@ -31,4 +31,4 @@ def r6(c: Column | str, name: str, digits: int = 6) -> Column:
 
 
 def load_all() -> None:
-    from . import aggregating, checking, comparing, estimating, framing, graphs, matching, moving, pairing, posing, selecting, searching  # noqa: F401
+    from . import aggregating, checking, comparing, estimating, framing, geometric, graphs, matching, moving, pairing, posing, registering, selecting, searching  # noqa: F401
