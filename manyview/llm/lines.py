@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .registry import query
-from .text import staged, table
+from .text import packed, staged, table, unpacked
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -67,7 +67,7 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     hit = places.join(common, "h").filter(F.col("doc_id").isNotNull())
     away = hit.filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
     removed = away.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("pos")).alias("_away"), F.collect_set("h").alias("_gone"))
-    out = docs.drop("_lines").join(removed, F.col("doc_id") == F.col("_id"), "left")
+    out = packed(docs, "doc_id", "text").join(removed, F.col("doc_id") == F.col("_id"), "left")
     lines = F.split("text", "\n")
     worded = F.size(F.filter(lines, lambda x: _trim(x) != ""))
     gone = lambda x, i: F.array_contains("_away", i) & F.array_contains("_gone", F.xxhash64(_trim(x)))
@@ -81,8 +81,7 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
         (F.col("_n") - F.col("_left")).cast("long").alias("n_removed"),
         ((F.col("_n") > 0) & (F.col("_left") == 0)).alias("emptied"),
     )
-    columns = [F.col("_kept").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "_lines"]
-    return out.select(*columns, info.alias("_lines"))
+    return unpacked(out, [c for c in docs.columns if c != "_lines"], info.alias("_lines"), doc_id=F.col("doc_id"), text=F.col("_kept"))
 
 
 LINES_SQL = r"""

@@ -170,6 +170,22 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The columns that an operator doesn't work on, as one struct.
+ROW = "_row"
+
+
+def packed(docs: DataFrame, *used: str) -> DataFrame:
+    """The used columns and all others as one struct, so that none of these can clash with a
+    name that an operator uses inside."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in used] or [F.lit(True).alias("none")]
+    return docs.select(*used, F.struct(*others).alias(ROW))
+
+
+def unpacked(df: DataFrame, columns: list[str], *more: Column, **used: Column) -> DataFrame:
+    """The columns as they were, the used ones as given, and more after them."""
+    return df.select(*[(used[c] if c in used else F.col(f"{ROW}.`{c}`")).alias(c) for c in columns], *more)
+
+
 def n_words(text: Column) -> Column:
     """Number of words as an expression; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
