@@ -37,10 +37,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.graph import connected_components
 from .registry import query
-from .text import mix, pieces, powers, staged, table, windows, words
+from .text import mix, packed, pieces, powers, staged, table, unpacked, windows, words
 
 SHINGLE = 5
 #: Links: 100 * intersection >= PERCENT * union.
@@ -451,12 +452,12 @@ def dedup_near(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class (the smallest doc_id; of repeated rows one).
     Rows without shingles stay, but rows alike in doc_id and all else count as one."""
     kept = near_classes(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_of")).distinct()
-    noded = docs.drop("_node").mapInArrow(_noded, docs.drop("_node").schema.add("_node", "long"))
+    rows = packed(docs, "doc_id", "text")
+    noded = rows.mapInArrow(_noded, T.StructType([*rows.schema.fields, T.StructField("_node", T.LongType())]))
     noded = noded.withColumn("_node", F.when(F.col("doc_id").isNotNull(), F.col("_node")).otherwise(0))
     out = noded.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_of")))
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != "_node"]
     has = out.filter("_node <> 0").dropDuplicates(["doc_id", "_node"])
-    return has.unionByName(out.filter("_node = 0")).select(*columns)
+    return unpacked(has.unionByName(out.filter("_node = 0")), docs.columns, doc_id=F.col("doc_id"), text=F.col("text"))
 
 
 NEAR_SQL = r"""
