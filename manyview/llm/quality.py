@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .registry import query
-from .text import SPACE, Words, mix, pieces, powers, table, windows, words
+from .text import SPACE, Words, mix, packed, pieces, powers, table, unpacked, windows, words
 
 SYMBOLS = b"#*$%&|<>"
 #: Frequent function words of the corpus' languages.
@@ -253,8 +253,9 @@ def judged(docs_measured: DataFrame, good: dict[str, float]) -> DataFrame:
 
 def assess(docs: DataFrame) -> DataFrame:
     """``docs`` with the struct ``_quality``: counts, base_failed, quality, kept."""
-    m = measured(docs)
-    return judged(m, fit(measured(docs.select("text"))))
+    m = measured(packed(docs, "text"))
+    out = judged(m, fit(measured(docs.select("text"))))
+    return unpacked(out, [c for c in docs.columns if c != "_quality"], F.col("_quality"), text=F.col("text"))
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
