@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .registry import query
-from .text import mix, pieces, powers, table, windows, words
+from .text import mix, packed, pieces, powers, table, unpacked, windows, words
 
 SHINGLE = 5
 SIMILAR = 0.75
@@ -232,7 +232,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with the struct ``_leak`` of the best item (item_id, similarity, first_word)
     and the number of items found; null where none is."""
     sc = docs.sparkSession.sparkContext
-    out = docs.drop("_leak").withColumn("_leak", F.lit(None).cast(LEAK))
+    out = packed(docs, "text").withColumn("_leak", F.lit(None).cast(LEAK))
     for group in _groups(benchmark):
         before = out.withColumnRenamed("_leak", "_before")
         now = before.mapInArrow(_leaks(sc.broadcast(group)), T.StructType([*before.schema.fields, T.StructField("_leak", LEAK)]))
@@ -241,7 +241,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         total = (F.coalesce("_leak.n_items", F.lit(0)) + F.coalesce("_before.n_items", F.lit(0))).cast("long")
         one = F.struct(both["item_id"].alias("item_id"), both["similarity"].alias("similarity"), both["first_word"].alias("first_word"), total.alias("n_items"))
         out = now.withColumn("_leak", F.when(both.isNotNull(), one)).drop("_before")
-    return out
+    return unpacked(out, [c for c in docs.columns if c != "_leak"], F.col("_leak"), text=F.col("text"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -6,7 +6,10 @@ import re
 W = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 #: Names that operators use inside.
-CLASH = ("size", "copies", "node", "h", "pos", "first", "block", "_quality_", "site", "term", "kind", "key", "count")
+CLASH = (
+    "size", "copies", "node", "h", "pos", "first", "block", "_quality_", "site", "term", "kind", "key", "count",
+    "_id", "_gone", "_n", "_kept", "_left", "_away", "_of", "_node", "_pattern", "_good", "_pattern_of", "_before", "_row", "none",
+)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
 
 
