@@ -83,18 +83,21 @@ def _proposals(m: DataFrame, model: Model, limits: Limits) -> DataFrame:
     w = Window.partitionBy("pair").orderBy(F.xxhash64(F.lit(limits.seed), *cols), *cols)
     sample = m.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= SAMPLE)
 
+    # Only functions go to the workers; the model also holds a UDF, which belongs to the session.
+    size, hypotheses, error_of = model.size, model.propose, model.error_of
+
     def propose(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("_r")[list(cols)].to_numpy()
-        none = pd.DataFrame({"pair": pdf["pair"][:0], "k": np.zeros(0, np.int32), "m": []})
-        if len(rows) < model.size:
+        none = pd.DataFrame({"pair": pdf["pair"][:0], "k": np.zeros(0, np.int32), "m": pd.Series([], dtype=object)})
+        if len(rows) < size:
             return none
         rng = np.random.default_rng(limits.seed)
-        drawn = np.argsort(rng.random((limits.draws, len(rows))), axis=1)[:, : model.size]
-        found = model.propose(rows[drawn])
+        drawn = np.argsort(rng.random((limits.draws, len(rows))), axis=1)[:, :size]
+        found = hypotheses(rows[drawn])
         found = found[np.isfinite(found).all(1)]
         if not len(found):
             return none
-        agree = (model.error_of(found, rows) <= limits.max_error**2).sum(1)
+        agree = (error_of(found, rows) <= limits.max_error**2).sum(1)
         top = np.argsort(-agree, kind="stable")[:KEPT]
         return pd.DataFrame({"pair": [pdf["pair"].iloc[0]] * len(top), "k": np.arange(len(top), dtype=np.int32), "m": list(found[top])})
 
