@@ -121,7 +121,8 @@ def manifest(rows: DataFrame, key: str, group: str, leaf: Column, presented: Col
     the row was tampered with.
     """
     grp = F.when(F.col(group).isNull(), "0").otherwise(F.concat(F.lit("1"), F.col(group).cast("string")))
-    leaves = rows.select(F.col(key).alias("key"), grp.alias("grp"), leaf.alias("leaf"), presented.alias("seen"))
+    # Written before they are ranked, as ranges are sampled first: texts are read once.
+    leaves = staged(rows.select(F.col(key).alias("key"), grp.alias("grp"), leaf.alias("leaf"), presented.alias("seen")))
     leaves = _slots(staged(global_rank(leaves, ["key", "leaf"], ["grp"], "idx")))
     runs, subroots = levels(leaves.select("grp", "idx", F.col("leaf").alias("digest")))
     ranked = _slots(staged(global_rank(subroots.withColumnRenamed("grp", "lang"), ["lang"], (), "idx")))
