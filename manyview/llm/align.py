@@ -8,7 +8,7 @@ cut the tokens into groups; every stretch between two neighbouring ends of eithe
 is one link of an A and a B token.
 
 A's words (of its split pattern) and B's runs of blanks and what follows do not depend on
-their surroundings, so tasks encode each of them once and look it up afterwards. Texts with
+their surroundings, so a worker encodes each of them once and looks it up afterwards. Texts with
 a character outside Latin letters, digits and ASCII marks are encoded whole, as the
 split pattern's classes are only restated for these.
 
@@ -31,6 +31,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -47,7 +48,7 @@ FOLDER = "/opt/tokenizers"
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Text bytes of a block.
 BLOCK = 8 << 20
-#: Remembered units are forgotten beyond so many tokens; longer units are not remembered.
+#: No more units are remembered beyond so many tokens, and no longer ones; they are encoded anew.
 REMEMBERED, UNIT_CHARS = 2_500_000, 256
 
 # The byte-level split pattern with its classes over Latin text.
@@ -166,13 +167,20 @@ class Units(dict):
     def __init__(self, side: ByteLevel | Pieces):
         super().__init__()
         self.side, self.new = side, []
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(0, np.int64)
         # By unit: place of the first token, number of tokens, bytes, whether the tokens spell it.
         self.first, self.count, self.size, self.valid = (np.zeros(0, np.int64) for _ in range(4))
+        # Numbers of units and tokens that stay, and the units to go before the next batch.
+        self.full, self.passing = None, []
+
+    def _shrink(self) -> None:
+        """Forgets what came after the memory was full."""
+        units, tokens = self.full
+        for u in self.passing:
+            self.pop(u, None)
+        self.passing = []
+        self.ids, self.ends = self.ids[:tokens], self.ends[:tokens]
+        self.first, self.count, self.size, self.valid = (x[:units] for x in (self.first, self.count, self.size, self.valid))
 
     def __missing__(self, unit: str) -> int:
         self.new.append(unit)
@@ -181,8 +189,8 @@ class Units(dict):
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """The units of every text by number."""
-        if len(self.ids) > REMEMBERED:
-            self.forget()
+        if self.full:
+            self._shrink()
         out = []
         for text in texts:
             units = self.side.units(text)
@@ -216,6 +224,10 @@ class Units(dict):
         for u in self.new:
             if len(u) > UNIT_CHARS:
                 del self[u]
+        if self.full:
+            self.passing = self.new
+        elif len(self.ids) > REMEMBERED:
+            self.full = len(self.size), len(self.ids)
         self.new = []
 
     def _spelled(self, ids: np.ndarray) -> bytes:
@@ -246,6 +258,12 @@ def _per_text(flags_upto: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
     return np.diff(upto, prepend=0)
 
 
+@lru_cache(maxsize=1)
+def aligner_of(folder: str) -> Aligner:
+    """The one aligner of a worker process; its tasks share what it remembers."""
+    return Aligner(folder)
+
+
 class Aligner:
     """Aligned tokens of batches of texts."""
 
@@ -343,7 +361,7 @@ def tokenized(docs: DataFrame, folder: str = FOLDER, block: int = BLOCK) -> Data
     schema = _arrow(docs.sparkSession.createDataFrame([], out).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(folder)
+        aligner = aligner_of(folder)
         key, size, rows = TaskContext.get().partitionId() << 32, 0, 0
         held = ids, counts, digests, text, pair = [], [], [], [], []
         for b in pieces(batches, "text"):

@@ -125,5 +125,18 @@ def test_units_split_like_the_tokenizer(sides):
                 assert list(zip(ids.tolist(), ends.tolist())) == [(i, e) for i, _, e in want], repr(text)
 
 
+def test_full_memory_changes_nothing(sides, monkeypatch):
+    """Tokens stay the same once no more units are remembered."""
+    aligner = align.Aligner(align.FOLDER)
+    texts = [t for t in messy.texts() if t] * 2
+    want = aligner.align(texts)
+    monkeypatch.setattr(align, "REMEMBERED", 100)
+    small = align.Aligner(align.FOLDER)
+    got = [small.align([t]) for t in texts]
+    assert small.a.full and small.b.full and len(small.a.ids) < 40_000
+    assert [d for g in got for d in g[1]] == want[1]
+    assert [g[0].tolist()[0] for g in got] == want[0].tolist()
+
+
 def test_empty_table(spark):
     assert rows_of(spark, []) == []
