@@ -64,7 +64,7 @@ def multi_alignment(spark, sf):
     "multi_alignment_points",
     roles.sql(
         roles.POINTS_SQL, CHAIN_SQL,
-        body=f"""SELECT recon, point_id, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(z, 4) + 0.0 AS z, w FROM points JOIN recons ON recon = point_id % {len(CHAIN)}""",
+        body=f"""SELECT recon, point_id, round(x, 8) + 0.0 AS x, round(y, 8) + 0.0 AS y, round(z, 8) + 0.0 AS z, w FROM points JOIN recons ON recon = point_id % {len(CHAIN)}""",
     ),
 )
 def multi_alignment_points(spark, sf):
@@ -76,7 +76,7 @@ def multi_alignment_points(spark, sf):
         for recon in CHAIN
     ]
     moved = R.move_points(reduce(DataFrame.unionByName, native), R.align_all(_native_images(spark, sf), 0))
-    return moved.select("recon", "point_id", *[(r6(c, c, 4) + 0.0).alias(c) for c in "xyz"], "w")
+    return moved.select("recon", "point_id", *[(r6(c, c, 8) + 0.0).alias(c) for c in "xyz"], "w")
 
 
 TARGET = align.Similarity.from_axis_angle((1.0, -0.5, 0.3), 0.8, (4.0, -3.0, 2.0), 1.5)

@@ -31,4 +31,4 @@ def r6(c: Column | str, name: str, digits: int = 6) -> Column:
 
 
 def load_all() -> None:
-    from . import aggregating, checking, comparing, discovering, estimating, framing, geometric, graphs, matching, moving, pairing, posing, registering, selecting, searching, surfacing, surveying  # noqa: F401
+    from . import aggregating, checking, comparing, discovering, estimating, framing, geometric, graphs, lensing, matching, moving, overlapping, pairing, posing, registering, selecting, searching, surfacing, surveying  # noqa: F401
