@@ -17,6 +17,8 @@ from .skew import exact_median
 
 #: Spread of a median deviation, share of the largest weight that counts as live.
 MAD_TO_SIGMA, LIVE = 1.4826, 0.25
+#: Neighbours of a point that one task holds together.
+WHOLE = 100_000
 AXES = T.StructType([T.StructField(c, T.DoubleType()) for c in ("nx", "ny", "nz", "low", "mid", "top")])
 _D = ("dx", "dy", "dz")
 _UPPER = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
@@ -48,12 +50,13 @@ def axes(a00: pd.Series, a01: pd.Series, a02: pd.Series, a11: pd.Series, a12: pd
 
 def directions(points: DataFrame, pairs: DataFrame) -> DataFrame:
     """(p, dx, dy, dz): unit directions from each point to its neighbours; pairs (p, q), either order. Coinciding points have none."""
-    both = pairs.select("p", "q").unionByName(pairs.select(F.col("q").alias("p"), F.col("p").alias("q")))
     at = lambda key, t: points.select(F.col("point_id").alias(key), *[F.col(c).alias(f"{t}{c}") for c in "xyz"])
-    j = both.join(at("p", "p_"), "p").join(at("q", "q_"), "q")
+    j = pairs.select("p", "q").join(at("p", "p_"), "p").join(at("q", "q_"), "q")
     off = V.sub(V.vec("q_x", "q_y", "q_z"), V.vec("p_x", "p_y", "p_z"))
-    j = j.select("p", *[c.alias(n) for c, n in zip(off, ("ox", "oy", "oz"))], V.norm(off).alias("n")).filter("n > 1e-12")
-    return j.select("p", *[(F.col(f"o{c}") / F.col("n")).alias(f"d{c}") for c in "xyz"])
+    j = j.select("p", "q", *[c.alias(n) for c, n in zip(off, ("ox", "oy", "oz"))], V.norm(off).alias("n")).filter("n > 1e-12")
+    there = [F.col(f"o{c}") / F.col("n") for c in "xyz"]
+    sides = [F.struct(F.col(k).alias("p"), *[(sign * d).alias(f"d{c}") for c, d in zip("xyz", there)]) for k, sign in (("p", 1.0), ("q", -1.0))]
+    return j.select(F.explode(F.array(*sides)).alias("s")).select("s.*")
 
 
 def _fit(rows: DataFrame) -> DataFrame:
@@ -66,14 +69,101 @@ def _off_plane() -> Column:
     return F.abs(V.dot(V.vec(*_D), V.vec("nx", "ny", "nz")))
 
 
-def surfel_normals(dirs: DataFrame, views: DataFrame, params: SurfelParams = SurfelParams()) -> DataFrame:
+def surfel_normals(dirs: DataFrame, views: DataFrame, params: SurfelParams = SurfelParams(), whole: int = WHOLE) -> DataFrame:
     """One row per point of two neighbours or more: (p, nx, ny, nz, n_support, n_eff, anisotropy, sectors,
     sigma_deg, resid_deg, determined).
 
-    dirs as from ``directions``; views (p, vx, vy, vz), the side from which the point is seen. The plane
-    through the point is fitted by sums, neighbours are reweighted by their angle to it against the
+    dirs as from ``directions``; views (p, vx, vy, vz), the side from which the point is seen, one a point.
+    The plane through the point is fitted by sums, neighbours are reweighted by their angle to it against the
     median angle, and a point whose weights would all vanish keeps its last ones.
+
+    Points of up to ``whole`` neighbours are fitted in one pass, many at once; those of more by
+    sums and medians that go through shuffles, round by round, with the same results.
     """
+    dirs = cut(dirs)
+    crowded = cut(dirs.groupBy("p").count().filter(F.col("count") > whole).select("p"))
+    if crowded.isEmpty():
+        return _fitted_at_once(dirs, views, params)
+    # Fewer than one point in ``whole`` directions.
+    few = _fitted_at_once(dirs.join(F.broadcast(crowded), "p", "left_anti"), views, params)
+    return few.unionByName(_fitted_in_rounds(dirs.join(F.broadcast(crowded), "p", "left_semi"), views, params))
+
+
+def _fitted_at_once(dirs: DataFrame, views: DataFrame, params: SurfelParams) -> DataFrame:
+    """Rows of a point come one after another: its view first, then its directions."""
+    kind = dirs.schema["p"].dataType.simpleString()
+    seen = views.select("p", F.lit(0).alias("k"), *[F.col(c).cast("double").alias(d) for c, d in zip(("vx", "vy", "vz"), _D)])
+    rows = seen.unionByName(dirs.select("p", F.lit(1).alias("k"), *_D)).repartition("p").sortWithinPartitions("p", "k")
+
+    def run(batches):
+        held = None
+        for b in batches:
+            held = b if held is None else pd.concat((held, b), ignore_index=True)
+            if len(held):
+                last = held["p"].to_numpy() == held["p"].iloc[-1]
+                if not last.all():
+                    yield _normals(held[~last], params)
+                    held = held[last]
+        if held is not None and len(held):
+            yield _normals(held, params)
+
+    return rows.mapInPandas(run, f"p {kind}, nx double, ny double, nz double, n_support long, n_eff double, anisotropy double, sectors long, sigma_deg double, resid_deg double, determined boolean")
+
+
+def _normals(t: pd.DataFrame, params: SurfelParams) -> pd.DataFrame:
+    """Fits of many points, rows ordered by point and view first."""
+    is_dir = t["k"].to_numpy() == 1
+    view = t[~is_dir].drop_duplicates("p").set_index("p")[list(_D)]
+    t = t[is_dir & t["p"].isin(view.index).to_numpy()]
+    _, of, n = np.unique(t["p"].to_numpy(), return_inverse=True, return_counts=True)
+    t = t[n[of] >= 2]
+    ids, first, of, n = np.unique(t["p"].to_numpy(), return_index=True, return_inverse=True, return_counts=True)
+    d, v = t[list(_D)].to_numpy(float), view.loc[ids].to_numpy(float)
+    add = lambda x: np.add.reduceat(x, first) if len(x) else x
+
+    def plane(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m = np.empty((len(ids), 3, 3))
+        for i, j in _UPPER:
+            m[:, i, j] = m[:, j, i] = add(w * d[:, i] * d[:, j])
+        value, vector = np.linalg.eigh(m)
+        return value, vector[:, :, 0]
+
+    off = lambda normal: np.abs((d * normal[of]).sum(axis=1))
+    w, live, sigma = np.ones(len(t)), np.ones(len(ids), dtype=bool), np.full(len(ids), np.nan)
+    for _ in range(params.rounds):
+        r = off(plane(w)[1])
+        ranked = r[np.lexsort((r, of))]
+        low, high = ranked[first + (n - 1) // 2], ranked[first + n // 2]
+        scale = np.maximum(MAD_TO_SIGMA * (low + (high - low) * 0.5), math.sin(math.radians(params.floor_deg)))
+        u = r / (params.tukey * scale)[of]
+        robust = np.where(u < 1.0, (1.0 - u * u) ** 2, 0.0)
+        sigma = np.where(live, scale, sigma)
+        live = live & (add(robust) > 1e-12)
+        w = np.where(live[of], robust, w)
+    value, normal = plane(w)
+    normal = normal * np.where((normal * v).sum(axis=1) < 0, -1.0, 1.0)[:, None]
+    size = np.sqrt((v * v).sum(axis=1))[:, None]
+    v = np.where(size < 1e-9, [0.0, 0.0, 1.0], v / np.where(size < 1e-9, 1.0, size))
+    seed = np.where(np.abs(v[:, 2:]) > 0.95, [1.0, 0.0, 0.0], [0.0, 0.0, 1.0])
+    e1 = seed - v * (seed * v).sum(axis=1)[:, None]
+    e1 = e1 / np.maximum(np.sqrt((e1 * e1).sum(axis=1)), 1e-12)[:, None]
+    angle = np.arctan2((d * np.cross(v, e1)[of]).sum(axis=1), (d * e1[of]).sum(axis=1))
+    sector = np.floor((angle / (2 * math.pi) + 1.0) * params.sectors).astype(int) % params.sectors
+    top_w = np.maximum.reduceat(w, first) if len(w) else w
+    alive = w >= LIVE * np.maximum(top_w, 1e-30)[of]
+    seen = np.zeros((len(ids), params.sectors), dtype=bool)
+    seen[of[alive], sector[alive]] = True
+    degrees = lambda s: np.degrees(np.arcsin(np.minimum(s, 1.0)))
+    r, sw = off(normal), add(w)
+    out = pd.DataFrame({
+        "p": ids, "nx": normal[:, 0], "ny": normal[:, 1], "nz": normal[:, 2], "n_support": n, "n_eff": sw * sw / np.maximum(add(w * w), 1e-30),
+        "anisotropy": np.where(value[:, 2] > 1e-30, value[:, 1] / np.where(value[:, 2] > 1e-30, value[:, 2], 1.0), 0.0), "sectors": seen.sum(axis=1),
+        "sigma_deg": degrees(sigma), "resid_deg": degrees(np.sqrt(np.maximum(add(w * r * r), 0.0) / np.maximum(sw, 1e-30))),
+    })
+    return out.assign(determined=(out["n_eff"] >= params.min_effective) & (out["sectors"] >= params.min_sectors) & (out["anisotropy"] >= params.min_anisotropy))
+
+
+def _fitted_in_rounds(dirs: DataFrame, views: DataFrame, params: SurfelParams) -> DataFrame:
     several = dirs.groupBy("p").agg(F.count(F.lit(1)).alias("n_support")).filter("n_support >= 2")
     rows = cut(dirs.join(several.select("p"), "p", "left_semi").withColumn("w", F.lit(1.0)).withColumn("live", F.lit(True)))
     sigma = several.select("p", F.lit(float("nan")).alias("sigma"))

@@ -66,3 +66,29 @@ def test_directions_skip_coinciding_points(spark):
     got = sorted(tuple(r) for r in surfels.directions(points, pairs).collect())
     assert got == [(0, 0.0, 0.0, 1.0), (1, 0.0, 0.0, -1.0)]
     assert surfels.surfel_normals(surfels.directions(points, pairs.filter("false")), points.selectExpr("point_id AS p", "x AS vx", "y AS vy", "z AS vz")).count() == 0
+
+
+def test_crowded_points_go_in_rounds(spark):
+    """The pass over whole points and the rounds through shuffles give the same."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for p in range(12):
+        d = rng.normal(size=([2, 7, 30, 60][p % 4], 3)) * [1, 1, 0.1]
+        rows += [(p, *map(float, v)) for v in d / np.linalg.norm(d, axis=1, keepdims=True)]
+    dirs = spark.createDataFrame(rows, "p long, dx double, dy double, dz double").repartition(3)
+    views = spark.createDataFrame([(p, *map(float, rng.normal(size=3))) for p in range(12)], "p long, vx double, vy double, vz double")
+    one, two, three = ({r["p"]: r for r in surfels.surfel_normals(dirs, views, whole=n).collect()} for n in (100, 20, 1))
+    assert len(one) == 12 and one.keys() == two.keys() == three.keys()
+    for p, r in one.items():
+        for other in (two, three):
+            assert list(r) == pytest.approx(list(other[p]), abs=1e-6)
+
+
+def test_whole_points_are_cut_once(spark, monkeypatch):
+    """Directions are written once and not again in every round."""
+    cuts = []
+    monkeypatch.setattr(surfels, "cut", lambda df: cuts.append(df.columns) or df.localCheckpoint())
+    dirs = spark.createDataFrame([(0, 1.0, 0.0, 0.0), (0, 0.0, 1.0, 0.0), (0, 0.6, 0.8, 0.0)], "p long, dx double, dy double, dz double")
+    views = spark.createDataFrame([(0, 0.0, 0.0, 1.0)], "p long, vx double, vy double, vz double")
+    assert surfels.surfel_normals(dirs, views).count() == 1
+    assert cuts == [["p", "dx", "dy", "dz"], ["p"]]
