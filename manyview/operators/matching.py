@@ -12,6 +12,9 @@ from ..session import cut
 from .graph import connected_components
 from .skew import exact_quantiles, global_rank
 
+#: Side of a tile of keypoints, in radii of the search.
+VOTE_TILE = 4.0
+
 
 def correspondences_by_feature(source: DataFrame, target: DataFrame, image_pairs: DataFrame) -> DataFrame:
     """(source_point, target_point) through shared image and feature.
@@ -45,26 +48,33 @@ def resolve_point(source: DataFrame, target: DataFrame) -> DataFrame:
 def mutual_coordinate_votes(source: DataFrame, target: DataFrame, radius: float, min_votes: int = 2) -> DataFrame:
     """Votes (source_point, target_point, votes) of mutual nearest keypoints within ``radius`` pixels.
 
-    A grid of ``radius`` sized cells turns the range join into an equi-join over
-    the nine neighbouring cells.
+    Tiles of ``VOTE_TILE`` radii turn the range join into an equi-join: a source keypoint visits the
+    tiles its radius touches, mostly one or two.
     """
-    cell = lambda c: F.floor(F.col(c) / F.lit(radius))
+    tile = lambda c: F.floor(c / F.lit(VOTE_TILE * radius))
+    wide = radius * (1.0 + 1e-6)
+    touched = lambda c: F.explode(F.sequence(tile(F.col(c) - wide), tile(F.col(c) + wide)))
     s = source.select("image_id", F.col("point_id").alias("sp"), F.col("x").alias("sx"), F.col("y").alias("sy"))
-    s = s.withColumn("gx", cell("sx")).withColumn("gy", cell("sy"))
-    near = F.array(*[F.lit(o) for o in (-1, 0, 1)])
-    s = s.withColumn("ox", F.explode(near)).withColumn("oy", F.explode(near))
-    s = s.withColumn("gx", F.col("gx") + F.col("ox")).withColumn("gy", F.col("gy") + F.col("oy")).drop("ox", "oy")
+    s = s.withColumn("gx", touched("sx")).withColumn("gy", touched("sy"))
     t = target.select("image_id", F.col("point_id").alias("tp"), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    t = t.withColumn("gx", cell("tx")).withColumn("gy", cell("ty"))
+    t = t.withColumn("gx", tile(F.col("tx"))).withColumn("gy", tile(F.col("ty")))
     dx, dy = F.col("sx") - F.col("tx"), F.col("sy") - F.col("ty")
     cand = (
         s.join(t, ["image_id", "gx", "gy"])
         .withColumn("d2", dx * dx + dy * dy)
         .filter(F.col("d2") <= radius * radius)
     )
-    best_t = cand.groupBy("image_id", "sp").agg(F.min(F.struct("d2", "tp")).alias("b")).select("image_id", "sp", F.col("b.tp").alias("tp"))
-    best_s = cand.groupBy("image_id", "tp").agg(F.min(F.struct("d2", "sp")).alias("b")).select("image_id", "tp", F.col("b.sp").alias("sp"))
-    mutual = best_t.join(best_s, ["image_id", "sp", "tp"])
+    # Both sides' best from one pass; a pair that both name is mutual.
+    named = [F.struct(F.lit(k).alias("side"), F.col(a).alias("id"), F.col(b).alias("other")) for k, (a, b) in enumerate((("sp", "tp"), ("tp", "sp")))]
+    best = (
+        cand.select("image_id", "d2", F.explode(F.array(*named)).alias("n"))
+        .groupBy("image_id", "n.side", "n.id").agg(F.min(F.struct("d2", "n.other")).alias("b"))
+    )
+    from_source = F.col("side") == 0
+    mutual = (
+        best.groupBy("image_id", F.when(from_source, F.col("id")).otherwise(F.col("b.other")).alias("sp"), F.when(from_source, F.col("b.other")).otherwise(F.col("id")).alias("tp"))
+        .agg(F.count(F.lit(1)).alias("n")).filter("n = 2")
+    )
     return (
         mutual.groupBy(F.col("sp").alias("source_point"), F.col("tp").alias("target_point"))
         .agg(F.count(F.lit(1)).alias("votes"))

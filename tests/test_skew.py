@@ -192,3 +192,28 @@ def test_thin_to_a_target(spark):
     order = spark.createDataFrame([(i, i) for i in range(30)], "image_id long, rank long")
     kept = {r["image_id"] for r in pairs.thin_to(df, order, 8, iterations=4).collect()}
     assert 0 in kept and 1 <= len(kept) <= 30
+
+
+def test_coordinate_votes_visit_few_tiles(spark):
+    """Votes across tile borders as by all pairs, and a source keypoint visits fewer than three tiles on average instead of nine cells."""
+    rng = random.Random(12)
+    at = [(1, k, rng.uniform(-60, 160), rng.uniform(-60, 160)) for k in range(150)] + [(1, 900, 40.0, 0.0), (1, 901, -40.0, 40.0)]
+    to = [(i, k, x + rng.uniform(-6, 6), y + rng.uniform(-6, 6)) for i, k, x, y in at[:-2]] + [(1, 900, 50.0, 0.0), (1, 901, -40.0, 30.0)]
+    schema = "image_id long, point_id long, x double, y double"
+    src, tgt = spark.createDataFrame(at, schema), spark.createDataFrame(to, schema)
+    d2 = {(a[1], b[1]): (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 for a in at for b in to if (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 <= 100.0}
+    best = lambda side: {k: min((d, p[1 - side]) for p, d in d2.items() if p[side] == k)[1] for k in {p[side] for p in d2}}
+    of_s, of_t = best(0), best(1)
+    got = matching.mutual_coordinate_votes(src, tgt, 10.0, 1)
+    assert {(r["source_point"], r["target_point"]) for r in got.collect()} == {(s, t) for s, t in of_s.items() if of_t[t] == s}
+    seen = []
+    real = matching.F.explode
+    matching.F.explode = lambda c: seen.append(c) or real(c)
+    try:
+        matching.mutual_coordinate_votes(src, tgt, 10.0, 1)
+    finally:
+        matching.F.explode = real
+    n = src
+    for k, c in enumerate(seen[:2]):
+        n = n.withColumnRenamed("x", "sx").withColumnRenamed("y", "sy").withColumn(f"g{k}", real(c))
+    assert n.count() < 3 * len(at)
