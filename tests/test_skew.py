@@ -217,3 +217,16 @@ def test_coordinate_votes_visit_few_tiles(spark):
     for k, c in enumerate(seen[:2]):
         n = n.withColumnRenamed("x", "sx").withColumnRenamed("y", "sy").withColumn(f"g{k}", real(c))
     assert n.count() < 3 * len(at)
+
+
+def test_vectors_are_shipped_in_bounded_parts():
+    """A vector that visits every cell doesn't make one large batch."""
+    import pandas as pd
+
+    b = pd.DataFrame({"rep": range(100), "vec": [np.full(9, float(k)) for k in range(100)]})
+    row, cell = np.nonzero(np.ones((100, 300), dtype=bool))
+    parts = list(knn._to_cells(b, "rep", row, cell, "crep"))
+    assert max(map(len, parts)) <= knn.SHIP_ROWS and sum(map(len, parts)) == 30000
+    whole = pd.concat(parts)
+    assert whole["crep"].tolist() == row.tolist() and whole["cell"].tolist() == cell.tolist() and all(v[0] == k for v, k in zip(whole["vec"], whole["crep"]))
+    assert [len(p) for p in knn._parts([b, b.iloc[:0]])] == [100]
