@@ -110,3 +110,25 @@ def test_radius_join_with_a_hot_cell(spark):
     pairs = [(r["qid"], r["id"]) for r in got.collect()]
     want = {(i, j) for i, j in itertools.product(range(300), repeat=2) if math.dist(x[i], x[j]) <= 0.7}
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+def test_blocks_send_two_rows_an_image(spark):
+    """Copies of one feature and close directions in blocks of 16: the same two nearest, and no pairs beyond them."""
+    rows = scene(np.random.default_rng(3), 20, 5)
+    hot = rows[0]
+    rows += [(1000 + k, k % 5, hot[2], hot[3] + (k % 3)) for k in range(60)]
+    p = infinity.InfinityParams(30.0, 250.0, 0.9, 2)
+    block = 16
+    got = infinity._two_nearest(frame(spark, rows), p, block).collect()
+    seen = {}
+    for r in got:
+        seen.setdefault((r["a"], r["image"]), set()).add((r["d2"], r["b"]))
+    assert max(map(len, seen.values())) <= 2 * -(-len(rows) // block) and len(got) == sum(map(len, seen.values()))
+    chord = math.sqrt(2 * (1 - math.cos(math.radians(p.eps_deg))))
+    for a in rows:
+        for image in range(5):
+            d2 = sorted((float(((a[3] - b[3]) ** 2).sum()), b[0]) for b in rows if b[1] == image != a[1] and np.linalg.norm(a[2] - b[2]) <= chord)
+            if d2 and d2[0][0] < p.max_distance**2:
+                want = [d for d in d2[:2] if d[0] < p.max_distance**2 / p.ratio**2]
+                assert sorted(seen[a[0], image])[: len(want)] == want
+    assert {tuple(r) for r in infinity.infinity_tracks(frame(spark, rows), p).collect()} == plain(rows, p)
