@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,37 +146,82 @@ def fit_trimmed(pairs: DataFrame, keep_percentile: float = 90.0, rounds: int = 3
 def ransac_similarity(pairs: DataFrame, threshold: float, iterations: int = 64, sample: int = 3, seed: int = 0) -> tuple[Similarity, int]:
     """Consensus over hypotheses; all of them are scored in one pass over the pairs.
 
-    Every draw is over all pairs: the row with the smallest hash under the draw's own seed.
-    One pass makes all draws, and iterations x sample rows reach the driver. Without a usable
+    Every draw is over all pairs: the row with the smallest hash under the draw's own seed, then the
+    smallest ``pair_id``. One pass makes all draws and one scores all hypotheses, in NumPy over batches;
+    a task sends one row a draw, and iterations x sample rows reach the driver. Without a usable
     hypothesis every pair counts as an inlier.
     """
-    row = F.struct("sx", "sy", "sz", "tx", "ty", "tz")
-    draws = [F.min_by(row, F.struct(F.xxhash64(F.lit(seed), F.lit(k), "pair_id"), F.col("pair_id"))) for k in range(iterations * sample)]
-    drawn = pairs.agg(*[d.alias(f"d{k}") for k, d in enumerate(draws)]).first()
+    drawn = _draws(pairs, iterations * sample, seed)
     hyps = []
-    for i in range(iterations if drawn["d0"] is not None else 0):
-        rows = {tuple(drawn[f"d{k}"]) for k in range(i * sample, (i + 1) * sample)}
+    for i in range(iterations if drawn else 0):
+        rows = {drawn[k] for k in range(i * sample, (i + 1) * sample)}
         sim = _local_fit(np.array(sorted(rows), float)) if len(rows) == sample else None
         if sim is not None:
             hyps.append(sim)
     if not hyps:
         return fit_similarity(pairs), pairs.count()
-    scores = []
-    for sim in hyps:
-        r, t = sim.rotation, sim.translation
-        s, q = V.vec("sx", "sy", "sz"), V.vec("tx", "ty", "tz")
-        d = [
-            sim.scale * (float(r[i, 0]) * s[0] + float(r[i, 1]) * s[1] + float(r[i, 2]) * s[2]) + float(t[i]) - q[i]
-            for i in range(3)
-        ]
-        scores.append(F.sum((V.dot(d, d) <= threshold * threshold).cast("long")))
-    counts = pairs.agg(*[c.alias(f"h{i}") for i, c in enumerate(scores)]).first()
+    counts = _scores(pairs, hyps, threshold)
     best = max(range(len(hyps)), key=lambda i: (counts[i], -i))
     inliers = residuals(pairs, hyps[best]).filter(F.col("residual") <= threshold)
     # Fewer inliers than a sample don't define a fit; the hypothesis stands.
     return (fit_similarity(inliers) if counts[best] >= sample else hyps[best]), int(counts[best])
 
 
+def _draws(pairs: DataFrame, n: int, seed: int) -> list[tuple]:
+    """The rows of ``n`` draws in order, none if there are no pairs."""
+    cols = ["sx", "sy", "sz", "tx", "ty", "tz"]
+
+    def least(batches):
+        best = None
+        for b in batches:
+            if not len(b):
+                continue
+            b = b.sort_values("pair_id", kind="stable")
+            h = b["_h"].to_numpy().view(np.uint64)
+            row, low = np.zeros(n, np.int64), np.zeros(n, np.uint64)
+            for k in range(n):
+                mixed = _mix(h + _mix(np.uint64(k + 1)))
+                row[k] = mixed.argmin()
+                low[k] = mixed[row[k]]
+            found = b.iloc[row].drop(columns="_h").assign(draw=np.arange(n, dtype=np.int32), low=low.view(np.int64) ^ np.int64(-(2**63)))
+            best = found if best is None else pd.concat((best, found)).sort_values(["draw", "low", "pair_id"]).drop_duplicates("draw")
+        if best is not None:
+            yield best
+
+    hashed = pairs.select("pair_id", *[F.col(c).cast("double").alias(c) for c in cols], F.xxhash64(F.lit(seed), "pair_id").alias("_h"))
+    kind = pairs.schema["pair_id"].dataType.simpleString()
+    found = hashed.mapInPandas(least, f"pair_id {kind}, " + ", ".join(f"{c} double" for c in cols) + ", draw int, low long")
+    rows = found.groupBy("draw").agg(F.min_by(F.struct(*cols), F.struct("low", "pair_id")).alias("r")).orderBy("draw").collect()
+    return [tuple(r["r"]) for r in rows]
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    """Every draw's order of the same hashes; equal only for equal hashes."""
+    with np.errstate(over="ignore"):
+        h = h + np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+def _scores(pairs: DataFrame, hyps: list[Similarity], threshold: float) -> list[int]:
+    """Pairs within the threshold of every hypothesis."""
+    turns = [(sim.scale * sim.rotation, sim.translation) for sim in hyps]
+
+    def count(batches):
+        n = np.zeros(len(turns), np.int64)
+        for b in batches:
+            s, t = b[["sx", "sy", "sz"]].to_numpy(np.float64), b[["tx", "ty", "tz"]].to_numpy(np.float64)
+            for k, (r, o) in enumerate(turns):
+                d = s @ r.T + o - t
+                n[k] += np.count_nonzero((d * d).sum(1) <= threshold * threshold)
+        yield pd.DataFrame({"h": np.arange(len(turns), dtype=np.int32), "n": n})
+
+    rows = pairs.select(*[F.col(c).cast("double").alias(c) for c in ("sx", "sy", "sz", "tx", "ty", "tz")]).mapInPandas(count, "h int, n long")
+    total = {r["h"]: r["n"] for r in rows.groupBy("h").agg(F.sum("n").alias("n")).collect()}
+    return [total[k] for k in range(len(hyps))]
+
+
 def _local_fit(rows: np.ndarray) -> Similarity | None:
     s, t = rows[:, :3], rows[:, 3:]
     ms, mt = s.mean(0), t.mean(0)
