@@ -241,14 +241,20 @@ def merge_two_view(parts: DataFrame) -> DataFrame:
     Swapped pairs transpose F and E, invert H and invert the relative pose.
     Matrices are arrays of nine in row order; pose is q (w, x, y, z) and t.
     """
+    # Of a pair only the rows with most inliers in the first such file are brought to one direction.
+    w = Window.partitionBy("_lo", "_hi").orderBy(F.col("inliers").desc(), F.col("file").asc_nulls_last())
+    first = (
+        parts.withColumns({"_lo": F.least("i", "j"), "_hi": F.greatest("i", "j")})
+        .withColumn("_r", F.rank().over(w)).filter(F.col("_r") == 1).drop("_r")
+    )
     swap = F.col("i") > F.col("j")
     tr = lambda m: F.array(*[F.element_at(m, k) for k in (1, 4, 7, 2, 5, 8, 3, 6, 9)])
-    p = parts.select(
+    p = first.withColumn("_det", F.when(swap, _det3("h"))).select(
         "file",
-        F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "config", "inliers",
+        F.col("_lo").alias("i"), F.col("_hi").alias("j"), "config", "inliers",
         F.when(swap, tr("f")).otherwise(F.col("f")).alias("f"),
         F.when(swap, tr("e")).otherwise(F.col("e")).alias("e"),
-        F.when(swap, _inverse3("h")).otherwise(F.col("h")).alias("h"),
+        F.when(swap, _inverse3("h", F.col("_det"))).otherwise(F.col("h")).alias("h"),
         *_swapped_pose(swap),
     )
     rest = [c for c in p.columns if c not in ("i", "j")]
@@ -259,14 +265,18 @@ def merge_two_view(parts: DataFrame) -> DataFrame:
     )
 
 
-def _inverse3(name: str):
+def _det3(name: str):
+    m = [F.element_at(name, k) for k in range(1, 10)]
+    return m[0] * (m[4] * m[8] - m[5] * m[7]) + m[1] * (m[5] * m[6] - m[3] * m[8]) + m[2] * (m[3] * m[7] - m[4] * m[6])
+
+
+def _inverse3(name: str, det):
     m = [F.element_at(name, k) for k in range(1, 10)]
     cof = [
         m[4] * m[8] - m[5] * m[7], m[2] * m[7] - m[1] * m[8], m[1] * m[5] - m[2] * m[4],
         m[5] * m[6] - m[3] * m[8], m[0] * m[8] - m[2] * m[6], m[2] * m[3] - m[0] * m[5],
         m[3] * m[7] - m[4] * m[6], m[1] * m[6] - m[0] * m[7], m[0] * m[4] - m[1] * m[3],
     ]
-    det = m[0] * cof[0] + m[1] * cof[3] + m[2] * cof[6]
     return F.when(F.abs(det) > 0, F.array(*[c / det for c in cof]))
 
 
