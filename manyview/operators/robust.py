@@ -60,16 +60,23 @@ def estimate(matches: DataFrame, model: Model, limits: Limits = Limits()) -> Dat
     fine = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in ("x", "y", "u", "v")]
     m = cut(matches.select("pair", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "u", "v")]).filter(fine[0] & fine[1] & fine[2] & fine[3]))
     bound = limits.max_error**2
-    near = model.error(F.col("m"), *(F.col(c) for c in ("x", "y", "u", "v"))) <= bound
-    agree = F.sum(near.cast("long"))
-    scored = m.join(_proposals(m, model, limits), "pair").groupBy("pair", "k").agg(F.first("m").alias("m"), F.count(F.lit(1)).alias("n"), agree.alias("inliers"))
-    best = cut(scored.groupBy("pair").agg(F.max_by(F.struct("n", "inliers", "m"), F.struct("inliers", -F.col("k"))).alias("b")).select("pair", "b.*"))
-    live = best.select("pair", "m", "inliers")
+    xy = [F.col(c) for c in ("x", "y", "u", "v")]
+    # Hypotheses side by side: a match is joined once, and counts need no sort.
+    side = [f"i{k}" for k in range(KEPT)]
+    agrees = [F.sum((model.error(F.get("ms", F.lit(k)), *xy) <= bound).cast("long")).alias(i) for k, i in enumerate(side)]
+    proposed = cut(_proposals(m, model, limits).groupBy("pair").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda e: e["m"]).alias("ms")))
+    scored = m.join(proposed, "pair").groupBy("pair").agg(F.count(F.lit(1)).alias("n"), *agrees)
+    # The most matches, then the first hypothesis; a hypothesis that a pair lacks counts none.
+    first = F.array_position(F.array(*[F.coalesce(i, F.lit(-1)) for i in side]), F.greatest(*[F.coalesce(i, F.lit(-1)) for i in side]))
+    best = cut(
+        scored.withColumn("_b", first.cast("int")).join(proposed, "pair")
+        .select("pair", "n", F.get(F.array(*side), F.col("_b") - 1).alias("inliers"), F.get("ms", F.col("_b") - 1).alias("m"))
+    )
+    live = cut(_agreeing(m, best.select("pair", "m"), model, bound))
     for _ in range(limits.rounds):
-        inside = m.join(live, "pair").filter(near).drop("m", "inliers")
-        again = cut(_refit(cut(inside), model))
-        grown = m.join(again, "pair").groupBy("pair").agg(F.first("m").alias("m"), agree.alias("grown"))
-        live = cut(grown.join(live.select("pair", "inliers"), "pair").filter("grown > inliers").select("pair", "m", F.col("grown").alias("inliers")))
+        again = cut(_refit(m, live, model, bound))
+        grown = _agreeing(m, again, model, bound)
+        live = cut(grown.join(live.select("pair", F.col("inliers").alias("_i")), "pair").filter("inliers > _i").drop("_i"))
         if live.isEmpty():
             break
         better = live.select("pair", F.col("m").alias("_m"), F.col("inliers").alias("_i"))
@@ -77,6 +84,17 @@ def estimate(matches: DataFrame, model: Model, limits: Limits = Limits()) -> Dat
     return best.filter(F.col("inliers") >= limits.min_inliers).select("pair", "n", "inliers", F.col("m").alias("model"))
 
 
+def _agreeing(m: DataFrame, models: DataFrame, model: Model, bound: float) -> DataFrame:
+    """(pair, m, inliers, mx, my, mu, mv): how many matches agree with each pair's model, and their mean."""
+    cols = ("x", "y", "u", "v")
+    near = model.error(F.col("m"), *[F.col(c) for c in cols]) <= bound
+    # Counts and means apart from the model, which would have them sorted.
+    found = m.join(models, "pair").groupBy("pair").agg(
+        F.sum(near.cast("long")).alias("inliers"), *[F.avg(F.when(near, F.col(c))).alias(f"m{c}") for c in cols]
+    )
+    return found.join(models, "pair")
+
+
 def _proposals(m: DataFrame, model: Model, limits: Limits) -> DataFrame:
     """(pair, k, m): up to ``KEPT`` hypotheses per pair."""
     cols = ("x", "y", "u", "v")
@@ -85,38 +103,53 @@ def _proposals(m: DataFrame, model: Model, limits: Limits) -> DataFrame:
 
     # Only functions go to the workers; the model also holds a UDF, which belongs to the session.
     size, hypotheses, error_of = model.size, model.propose, model.error_of
-
-    def propose(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("_r")[list(cols)].to_numpy()
-        none = pd.DataFrame({"pair": pdf["pair"][:0], "k": np.zeros(0, np.int32), "m": pd.Series([], dtype=object)})
-        if len(rows) < size:
-            return none
-        rng = np.random.default_rng(limits.seed)
-        drawn = np.argsort(rng.random((limits.draws, len(rows))), axis=1)[:, :size]
-        found = hypotheses(rows[drawn])
-        found = found[np.isfinite(found).all(1)]
-        if not len(found):
-            return none
-        agree = (error_of(found, rows) <= limits.max_error**2).sum(1)
-        top = np.argsort(-agree, kind="stable")[:KEPT]
-        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]] * len(top), "k": np.arange(len(top), dtype=np.int32), "m": list(found[top])})
-
+    draws = {}
+
+    def propose(batches):
+        for b in batches:
+            out = {"pair": [], "k": [], "m": []}
+            for pair, flat in zip(b["pair"], b["flat"]):
+                rows = np.asarray(flat, np.float64).reshape(-1, 4)
+                if len(rows) < size:
+                    continue
+                if len(rows) not in draws:
+                    draws[len(rows)] = np.argsort(np.random.default_rng(limits.seed).random((limits.draws, len(rows))), axis=1)[:, :size]
+                found = hypotheses(rows[draws[len(rows)]])
+                found = found[np.isfinite(found).all(1)]
+                agree = (error_of(found, rows) <= limits.max_error**2).sum(1)
+                top = np.argsort(-agree, kind="stable")[:KEPT]
+                out["pair"] += [pair] * len(top)
+                out["k"] += range(len(top))
+                out["m"] += list(found[top])
+            yield pd.DataFrame(out)
+
+    # No more than the sample's numbers a pair, many pairs to a call.
+    in_order = F.sort_array(F.collect_list(F.struct("_r", F.array(*cols).alias("row"))))
+    rows = sample.groupBy("pair").agg(F.flatten(F.transform(in_order, lambda e: e["row"])).alias("flat"))
     kind = m.schema["pair"].dataType.simpleString()
-    return sample.groupBy("pair").applyInPandas(propose, f"pair {kind}, k int, m array<double>")
+    return rows.mapInPandas(propose, f"pair {kind}, k int, m array<double>")
+
 
+def _refit(m: DataFrame, live: DataFrame, model: Model, bound: float) -> DataFrame:
+    """(pair, m) from all matches that agree, both images moved to mean zero and mean distance sqrt 2.
 
-def _refit(inside: DataFrame, model: Model) -> DataFrame:
-    """(pair, m) from all rows, both images moved to mean zero and mean distance sqrt 2."""
-    center = inside.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{c}") for c in ("x", "y", "u", "v")])
-    center = center.filter(F.col("n") >= max(model.size, 4))
-    off = lambda a, b: F.avg(F.sqrt((F.col(a) - F.col(f"m{a}")) ** 2 + (F.col(b) - F.col(f"m{b}")) ** 2))
-    spread = inside.join(center, "pair").groupBy("pair", "mx", "my", "mu", "mv").agg(off("x", "y").alias("d1"), off("u", "v").alias("d2"))
+    The sums are taken about the means in one pass with the mean distances, and scaled afterwards:
+    every term is a sum of monomials of one degree in either image.
+    """
+    cols = ("x", "y", "u", "v")
+    enough = live.filter(F.col("inliers") >= max(model.size, 4))
+    inside = m.join(enough.drop("inliers"), "pair").filter(model.error(F.col("m"), *[F.col(c) for c in cols]) <= bound)
+    at = inside.select("pair", *[(F.col(c) - F.col(f"m{c}")).alias(t) for c, t in zip(cols, "abcd")])
+    terms = model.terms(*(F.col(c) for c in "abcd"))
+    off = lambda a, b: F.avg(F.sqrt(F.col(a) * F.col(a) + F.col(b) * F.col(b)))
+    names = [f"s{k}" for k in range(len(terms))]
+    sums = at.groupBy("pair").agg(off("a", "b").alias("d1"), off("c", "d").alias("d2"), *[F.sum(t).alias(n) for n, t in zip(names, terms)])
     root = F.sqrt(F.lit(2.0))
-    norm = cut(spread.filter("d1 >= 1e-12 AND d2 >= 1e-12").select("pair", "mx", "my", (root / F.col("d1")).alias("k1"), "mu", "mv", (root / F.col("d2")).alias("k2")))
-    at = lambda c, k: (F.col(c) - F.col(f"m{c}")) * F.col(k)
-    j = inside.join(norm, "pair").select("pair", at("x", "k1").alias("a"), at("y", "k1").alias("b"), at("u", "k2").alias("c"), at("v", "k2").alias("d"))
-    sums = j.groupBy("pair").agg(F.array(*[F.sum(t) for t in model.terms(*(F.col(c) for c in "abcd"))]).alias("sums"))
-    fitted = sums.join(norm, "pair").select("pair", model.refit("sums", F.array("mx", "my", "k1", "mu", "mv", "k2")).alias("m"))
+    scaled = sums.filter("d1 >= 1e-12 AND d2 >= 1e-12").withColumns({"k1": root / F.col("d1"), "k2": root / F.col("d2")})
+    one, k1, k2 = F.lit(1.0), F.col("k1"), F.col("k2")
+    grow = [g / h for g, h in zip(model.terms(k1, k1, k2, k2), model.terms(one, one, one, one))]
+    normal = scaled.select("pair", "k1", "k2", F.array(*[F.col(n) * g for n, g in zip(names, grow)]).alias("sums"))
+    fitted = normal.join(enough.drop("m", "inliers"), "pair").select("pair", model.refit("sums", F.array("mx", "my", "k1", "mu", "mv", "k2")).alias("m"))
     return fitted.filter(F.forall("m", lambda x: ~F.isnan(x)))
 
 
@@ -149,7 +182,8 @@ def _null_of(a: np.ndarray) -> np.ndarray:
     fine = np.isfinite(a).all((1, 2))
     out = np.full((len(a), 3, 3), np.nan)
     if fine.any():
-        out[fine] = np.linalg.svd(a[fine])[2][:, -1].reshape(-1, 3, 3)
+        # What is orthogonal to all rows; a tenth of the work of singular values.
+        out[fine] = np.linalg.qr(a[fine].transpose(0, 2, 1), mode="complete")[0][:, :, -1].reshape(-1, 3, 3)
     return out
 
 
@@ -165,11 +199,12 @@ def _propose_fundamental(rows: np.ndarray) -> np.ndarray:
 
 def _sampson_of(models: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """(models, rows) squared first-order distances to the epipolar constraint."""
-    f = models.reshape(-1, 3, 3)
-    p, q = _homogeneous(rows[:, :2]), _homogeneous(rows[:, 2:])
-    line, back = np.einsum("kij,nj->kni", f, p), np.einsum("kji,nj->kni", f, q)
-    size = line[..., 0] ** 2 + line[..., 1] ** 2 + back[..., 0] ** 2 + back[..., 1] ** 2
-    value = np.einsum("ni,kni->kn", q, line) ** 2
+    x, y, u, v = rows.T
+    f = models.T[:, :, None]
+    line = [f[3 * r] * x + f[3 * r + 1] * y + f[3 * r + 2] for r in range(3)]
+    back = [f[c] * u + f[3 + c] * v + f[6 + c] for c in range(2)]
+    size = line[0] ** 2 + line[1] ** 2 + back[0] ** 2 + back[1] ** 2
+    value = (u * line[0] + v * line[1] + line[2]) ** 2
     return np.where(size > 1e-300, value / np.where(size > 1e-300, size, 1.0), np.inf)
 
 
@@ -208,21 +243,47 @@ FUNDAMENTAL = Model(8, _propose_fundamental, sampson, _sampson_of, _fundamental_
 def _propose_homography(rows: np.ndarray) -> np.ndarray:
     a, t1 = _normalized(rows[:, :, :2])
     b, t2 = _normalized(rows[:, :, 2:])
-    p = _homogeneous(a)
-    zero = np.zeros_like(p)
-    one = np.concatenate((p, zero, -b[..., :1] * p), axis=2)
-    two = np.concatenate((zero, p, -b[..., 1:] * p), axis=2)
-    h = _null_of(np.concatenate((one, two), axis=1))
+    p, q = _homogeneous(a), _homogeneous(b)
+    (one, w1), (two, w2) = _corners(p), _corners(q)
+    h = two @ _adjugate(one)
+    # Four points in general position have one map, here in closed form; for others the linear system decides.
+    flat = ~((w1 > 1e-4) & (w2 > 1e-4))
+    if flat.any():
+        p, b = p[flat], b[flat]
+        zero = np.zeros_like(p)
+        first = np.concatenate((p, zero, -b[..., :1] * p), axis=2)
+        second = np.concatenate((zero, p, -b[..., 1:] * p), axis=2)
+        h[flat] = _null_of(np.concatenate((first, second), axis=1))
     fine = np.isfinite(h).all((1, 2))
     h[fine] = np.linalg.inv(t2[fine]) @ h[fine] @ t1[fine]
     return _unit(h)
 
 
+def _corners(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first three of four points, scaled so that they add up to a multiple of the fourth; the smallest volume of any three."""
+    a, b, c, d = (p[:, k] for k in range(4))
+    share = np.stack([_triple(d, b, c), _triple(a, d, c), _triple(a, b, d)], axis=1)
+    least = np.minimum(np.abs(share).min(1), np.abs(_triple(a, b, c)))
+    return (p[:, :3] * share[:, :, None]).transpose(0, 2, 1), least
+
+
+def _triple(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (a * np.cross(b, c)).sum(1)
+
+
+def _adjugate(m: np.ndarray) -> np.ndarray:
+    x, y, z = m[:, :, 0], m[:, :, 1], m[:, :, 2]
+    return np.stack((np.cross(y, z), np.cross(z, x), np.cross(x, y)), axis=1)
+
+
 def _transfer_of(models: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    q = np.einsum("kij,nj->kni", models.reshape(-1, 3, 3), _homogeneous(rows[:, :2]))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        off = q[..., :2] / q[..., 2:] - rows[None, :, 2:]
-        return np.nan_to_num((off**2).sum(2), nan=np.inf)
+    x, y = rows[:, 0], rows[:, 1]
+    q = [h[0] * x + h[1] * y + h[2] for h in models.T[:, :, None].reshape(3, 3, -1, 1)]
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        u, v = q[0] / q[2] - rows[:, 2], q[1] / q[2] - rows[:, 3]
+        off = u * u + v * v
+    off[np.isnan(off)] = np.inf
+    return off
 
 
 def transfer(m: Column, x: Column, y: Column, u: Column, v: Column) -> Column:

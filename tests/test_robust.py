@@ -83,3 +83,20 @@ def test_columns_and_arrays_agree(spark, model):
     got = {(r["x"], r["y"]): r["e"] for r in df.withColumn("e", model.error(F.col("m"), *(F.col(c) for c in "xyuv"))).collect()}
     want = model.error_of(own[None], m)[0]
     assert all(got[m[i, 0], m[i, 1]] == pytest.approx(want[i], rel=1e-9) for i in range(20))
+
+
+def test_hypotheses_in_closed_form(spark):
+    """Four points in general position and three on a line: what the linear system says, and only its rows go there."""
+    rng = np.random.default_rng(4)
+    rows = rng.uniform(0, 1000, (200, 4, 4))
+    rows[150:, 2] = (rows[150:, 0] + rows[150:, 1]) / 2
+    seen, solve = [], robust._null_of
+    robust._null_of = lambda a: (seen.append(len(a)), solve(a))[1]
+    try:
+        got = robust._propose_homography(rows)
+    finally:
+        robust._null_of = solve
+    assert 50 <= sum(seen) < 100
+    for h, r in zip(got[:150], rows):
+        q = np.column_stack((r[:, :2], np.ones(4))) @ h.reshape(3, 3).T
+        assert np.allclose(q[:, :2] / q[:, 2:], r[:, 2:], atol=1e-4)
