@@ -14,14 +14,18 @@ from ..functions import quat as Q
 from ..functions import vec as V
 from ..session import cut
 from .graph import connected_components
-from .skew import global_rank, self_pairs
+from .skew import global_rank, pair_parts, parts_for, self_pairs
 
 
 def shared_counts(rows: DataFrame, group: str, image: str = "image_id", out: str = "shared") -> DataFrame:
-    """Groups shared by each image pair i < j; a group counts once per pair."""
-    distinct = rows.select(group, image).distinct()
+    """Groups shared by each image pair i < j; a group counts once per pair.
+
+    Partitions are set by the number of rows, so that no task holds more of them on a larger input.
+    """
+    rows = rows.select(group, image)
+    distinct = cut(rows.repartition(parts_for(rows.sparkSession, rows.count()), group, image).distinct())
     return (
-        self_pairs(distinct, [group], image)
+        self_pairs(distinct, [group], image, parts=pair_parts(distinct, [group]))
         .groupBy(F.col(f"a_{image}").alias("i"), F.col(f"b_{image}").alias("j"))
         .agg(F.count(F.lit(1)).alias(out))
     )

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 
 PAIR_BLOCK = 1024
 CHUNK = 4096
+# Rows of a partition where their number is set, so that a task's memory doesn't follow the input.
+PART_ROWS = 1 << 20
 
 
 def self_pairs(
@@ -24,6 +26,7 @@ def self_pairs(
     item: str,
     block: int = PAIR_BLOCK,
     condition: Column | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Pairs ``a.item < b.item`` inside each group, in cells of at most block x block.
 
@@ -32,6 +35,7 @@ def self_pairs(
     visits the cells (min(k, m), max(k, m)) of the triangle, so the work of a hot
     group is spread evenly. Ordinary groups have one block and are not copied.
     ``condition`` (over ``a_*`` and ``b_*`` columns) is evaluated inside the join.
+    ``parts`` (``pair_parts``) deals the cells to as many tasks; else adaptive execution decides.
     Columns come back as the group columns plus ``a_<col>`` and ``b_<col>``.
     """
     group = list(group)
@@ -52,6 +56,8 @@ def self_pairs(
         .drop("_nb", "_m")
     )
     keys = [*group, "_lo", "_hi"]
+    if parts is not None:
+        celled = celled.repartition(parts, *keys)
     a = celled.select(*keys, F.col("_blk").alias("_ab"), *[F.col(c).alias(f"a_{c}") for c in rest])
     b = celled.select(*keys, F.col("_blk").alias("_bb"), *[F.col(c).alias(f"b_{c}") for c in rest])
     on = (F.col(f"a_{item}") < F.col(f"b_{item}")) & (
@@ -62,6 +68,18 @@ def self_pairs(
     return a.join(b, keys).filter(on).drop("_lo", "_hi", "_ab", "_bb")
 
 
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Partitions of at most ``PART_ROWS`` rows on average, and one a core at least."""
+    return max(-(-rows // PART_ROWS), spark.sparkContext.defaultParallelism)
+
+
+def pair_parts(df: DataFrame, group: Sequence[str], block: int = PAIR_BLOCK) -> int:
+    """Partitions for the cells of ``self_pairs``, whose rows are counted with their copies."""
+    n = F.col("_n")
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    return parts_for(df.sparkSession, sizes.agg(F.sum(n * F.ceil(n / F.lit(block)))).first()[0] or 0)
+
+
 def global_rank(
     df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), out: str = "pos"
 ) -> DataFrame:
