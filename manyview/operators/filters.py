@@ -133,7 +133,8 @@ def not_isolated(points: DataFrame, factor: float, percentile: float = 50.0) ->
     finite = points.filter(~is_infinite()).select(
         "point_id", F.array(*[F.col(c) / F.col("w") for c in "xyz"]).alias("xyz")
     )
-    nn = nearest_neighbor_distances(finite, "point_id", "xyz")
+    # Used for the threshold and against it; the search is made once.
+    nn = cut(nearest_neighbor_distances(finite, "point_id", "xyz"))
     limit = exact_quantiles(nn, [], "dist", {"ref": percentile / 100.0}).select(
         (F.col("ref") * factor).alias("limit")
     )
