@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from manyview.operators import infinity, knn
+from manyview.operators import infinity, knn, skew
 
 
 def plain(rows, p):
@@ -112,6 +112,25 @@ def test_radius_join_with_a_hot_cell(spark):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+def test_radius_join_copies_few_rows(spark, monkeypatch):
+    """Three queries beside 4,000 corpus rows of a cell are not copied to each 64 of them, and partitions follow the rows."""
+    rng = np.random.default_rng(8)
+    x = rng.uniform(0, 0.7, (4000, 2))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, x double, y double")
+    q = df.filter("id < 3").select(*[df[c].alias(f"q{c}") for c in df.columns])
+    monkeypatch.setattr(skew, "PART_ROWS", 100)
+    seen = []
+    real = type(df).join
+    monkeypatch.setattr(type(df), "join", lambda a, b, *how: seen.append((a, b)) or real(a, b, *how))
+    got = knn.within_radius(q, df, 0.3, ["qx", "qy"], ["x", "y"], block=64)
+    monkeypatch.undo()
+    left, right = seen[-1]
+    assert left.count() + right.count() <= 4000 + 2 * 27
+    assert got.rdd.getNumPartitions() >= 40
+    want = {(i, j) for i in range(3) for j in range(4000) if math.dist(x[i], x[j]) <= 0.3}
+    assert sorted((r["qid"], r["id"]) for r in got.collect()) == sorted(want)
+
+
 def test_blocks_send_two_rows_an_image(spark):
     """Copies of one feature and close directions in blocks of 16: the same two nearest, and no pairs beyond them."""
     rows = scene(np.random.default_rng(3), 20, 5)
