@@ -46,7 +46,7 @@ def self_pairs(
         .filter(F.col("_n") > block)
         .select(*group, F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_nb"))
     )
-    sized = df.join(heavy, group, "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
+    sized = df.join(F.broadcast(heavy), group, "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
     blk = F.pmod(F.xxhash64(*rest), F.col("_nb").cast("long")).cast("int")
     celled = (
         sized.withColumn("_blk", blk)

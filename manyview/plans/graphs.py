@@ -180,5 +180,5 @@ walk AS (
 )
 def seed_groups(spark, sf):
     """All mutually covisible groups of three, strongest first."""
-    shared = pairs.shared_counts(roles.track_pairs(spark, sf), "point_id")
+    shared = pairs.shared_counts(roles.sightings(spark, sf), "point_id")
     return pairs.seed_groups(shared, group_size=3, min_shared=6)

@@ -28,12 +28,12 @@ def _members_xy(spark, sf):
     ),
 )
 def covisibility_pairs(spark, sf):
-    return pairs.covisibility(roles.track_pairs(spark, sf), roles.images(spark, sf), 90.0)
+    return pairs.covisibility(roles.sightings(spark, sf), roles.images(spark, sf), 90.0)
 
 
 @query("cluster_covisibility", roles.sql(SHARED_SQL, body="SELECT * FROM shared"))
 def cluster_covisibility(spark, sf):
-    return pairs.shared_counts(roles.track_pairs(spark, sf), "point_id")
+    return pairs.shared_counts(roles.sightings(spark, sf), "point_id")
 
 
 DISP_SQL = """
@@ -81,7 +81,7 @@ def nearest_by_displacement(spark, sf):
     ),
 )
 def covisibility_ranking(spark, sf):
-    return filters.top_partners(pairs.shared_counts(roles.track_pairs(spark, sf), "point_id"), 5, "shared")
+    return filters.top_partners(pairs.shared_counts(roles.sightings(spark, sf), "point_id"), 5, "shared")
 
 
 @query(
@@ -97,7 +97,7 @@ def covisibility_ranking(spark, sf):
 )
 def reach_fraction(spark, sf):
     """How much of the scene the images of the better suppliers see."""
-    shared = pairs.shared_counts(roles.track_pairs(spark, sf), "point_id")
+    shared = pairs.shared_counts(roles.sightings(spark, sf), "point_id")
     part = roles.table(spark, sf, "supplier").filter("s_acctbal > 7000").select(F.col("s_suppkey").alias("image_id"))
     return pairs.reach_fraction(shared, roles.images(spark, sf), part, 15).select("reached", "total", r6("fraction", "fraction"))
 
@@ -134,7 +134,7 @@ def _sweep_order(spark, sf):
     ),
 )
 def redundancy_thinning(spark, sf):
-    shared = pairs.shared_counts(roles.track_pairs(spark, sf), "point_id")
+    shared = pairs.shared_counts(roles.sightings(spark, sf), "point_id")
     return pairs.thin(shared, _sweep_order(spark, sf), 20.0)
 
 

@@ -129,13 +129,14 @@ def obs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def sightings(spark: SparkSession, sf: str) -> DataFrame:
+    """(point_id, image_id) of every row, for operators that make them distinct themselves."""
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("point_id"), F.col("l_suppkey").alias("image_id"))
+
+
 def track_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct (point_id, image_id)."""
-    return (
-        table(spark, sf, "lineitem")
-        .select(F.col("l_orderkey").alias("point_id"), F.col("l_suppkey").alias("image_id"))
-        .distinct()
-    )
+    return sightings(spark, sf).distinct()
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:

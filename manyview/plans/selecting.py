@@ -294,7 +294,7 @@ shared AS (SELECT a.image_id AS i, b.image_id AS j, count(*) AS shared
 def pair_pruning(spark, sf):
     from ..operators.pairs import shared_counts
 
-    pairs = shared_counts(roles.track_pairs(spark, sf), "point_id").withColumn("score", F.col("shared"))
+    pairs = shared_counts(roles.sightings(spark, sf), "point_id").withColumn("score", F.col("shared"))
     return filters.prune_image_pairs(pairs, close=4, max_distant=300, search=3).select("i", "j", "shared", "kind")
 
 

@@ -157,6 +157,31 @@ def test_seed_groups_of_large_parts(spark, monkeypatch):
     assert len({m for _, m in walked}) == len(walked)
 
 
+def test_covisibility_rows_are_not_sorted_by_group(spark, monkeypatch):
+    """Neither the making distinct nor the look-up of heavy groups holds rows in partitions whose number doesn't follow them."""
+    from manyview.plans import graphs
+
+    given = []
+    real = pairs.shared_counts
+    monkeypatch.setattr(pairs, "shared_counts", lambda rows, group: given.append(rows) or real(rows, group))
+    graphs.seed_groups(spark, "/root/testdata/sf0.001")
+    assert "Aggregate" not in given[0]._jdf.queryExecution().executedPlan().toString()
+
+    rng = random.Random(4)
+    rows = [(0 if k < 90 else k % 30, rng.randrange(40)) for k in range(270)]
+    df = spark.createDataFrame(rows, "point_id long, image_id long").distinct()
+    monkeypatch.setattr(skew, "PART_ROWS", 20)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = skew.self_pairs(df, ["point_id"], "image_id", block=10, parts=skew.pair_parts(df, ["point_id"], 10))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = sorted((r["point_id"], r["a_image_id"], r["b_image_id"]) for r in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [x for x in plan.splitlines() if "SortMergeJoin" in x and "LeftOuter" in x]
+    assert found == sorted((p, a, b) for p, a in set(rows) for q, b in set(rows) if p == q and a < b)
+
+
 def test_ransac_without_a_hypothesis(spark):
     same = [(i, 1.0, 1.0, 1.0, float(i), 0.0, 0.0) for i in range(4)]
     df = spark.createDataFrame(same, "pair_id long, sx double, sy double, sz double, tx double, ty double, tz double")
