@@ -40,7 +40,7 @@ def bucketed(tables: int = 8, bucket: int = 64, checks: int = 512, seed: int = 7
         cuts = int(np.ceil(np.log2(max(1.0, head["n"] / bucket))))
         planes = _planes(_sample(c, SAMPLE), tables, cuts, seed)
         probes = min(max(1, -(-checks // bucket)), 2 ** min(cuts, FLIPS))
-        return _search(q, c, k, planes, probes)
+        return _search(q.withColumnRenamed("rep", "qrep"), c, k, planes, probes)
 
     return search
 
@@ -79,7 +79,7 @@ def codes(x: np.ndarray, plane: tuple[np.ndarray, np.ndarray], probes: int) -> n
 
 def _placed(df: DataFrame, key: str, planes: list, probes: int) -> DataFrame:
     """(cell, key, vec): every row in its bucket of each table, or in several."""
-    kind = df.schema[key].dataType.simpleString()
+    kind, vec = (df.schema[x].dataType.simpleString() for x in (key, "vec"))
 
     def run(batches):
         for b in batches:
@@ -90,7 +90,7 @@ def _placed(df: DataFrame, key: str, planes: list, probes: int) -> DataFrame:
                 cell = pa.array(code.ravel() * len(planes) + t)
                 yield pa.RecordBatch.from_arrays([cell, b.column(key).take(row), b.column("vec").take(row)], ["cell", key, "vec"])
 
-    return df.select(key, "vec").mapInArrow(run, f"cell long, {key} {kind}, vec array<double>")
+    return df.select(key, "vec").mapInArrow(run, f"cell long, {key} {kind}, vec {vec}")
 
 
 def _nearest(k: int, q_type: pa.DataType, c_type: pa.DataType):
