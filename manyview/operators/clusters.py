@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -17,10 +17,11 @@ def floor_candidates(corpus: DataFrame, d: int = 10, alpha: float = 0.8, neighbo
     corpus is (row_id, image_id, descriptor); the result (seed, cand, dist, seed_image, cand_image).
     """
     nn = neighbours if neighbours is not None else self_knn(corpus, d + 1, "row_id", "descriptor", include_self=True)
-    floor = nn.filter(F.col("rank") == d + 1).select("row", (F.col("dist") * alpha).alias("radius"))
+    # The floor is taken beside the neighbours, so that these are searched once.
+    floor = F.max(F.when(F.col("rank") == d + 1, F.col("dist"))).over(Window.partitionBy("row"))
     img = corpus.select("row_id", "image_id")
     return (
-        nn.join(floor, "row")
+        nn.withColumn("radius", floor * alpha)
         .filter((F.col("nn") != F.col("row")) & (F.col("dist") <= F.col("radius")))
         .join(img.select(F.col("row_id").alias("row"), F.col("image_id").alias("seed_image")), "row")
         .join(img.select(F.col("row_id").alias("nn"), F.col("image_id").alias("cand_image")), "nn")
@@ -76,4 +77,4 @@ def claim_clusters(rows: DataFrame, candidates: DataFrame, min_size: int = 2) ->
 
 
 def background_floor_clusters(corpus: DataFrame, d: int = 10, alpha: float = 0.8, min_size: int = 2) -> DataFrame:
-    return claim_clusters(corpus, floor_candidates(corpus, d, alpha), min_size)
+    return claim_clusters(corpus, cut(floor_candidates(corpus, d, alpha)), min_size)
