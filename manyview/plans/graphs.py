@@ -25,7 +25,9 @@ comp AS (SELECT node, min(root) AS root FROM walk GROUP BY 1)
 """
 
 
-def links(spark, sf):
+def links(spark, sf, placed=None):
+    if placed is not None:
+        return placed.filter("key <> first").select(F.col("key").alias("src"), F.col("first").alias("dst")).distinct()
     f = roles.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("p"), F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("f")).distinct()
     hub = f.groupBy("i", "f").agg(F.min("p").alias("h"))
     return f.join(hub, ["i", "f"]).filter("p <> h").select(F.col("p").alias("src"), F.col("h").alias("dst")).distinct()
@@ -114,7 +116,8 @@ def _merge_inputs(spark, sf):
     obs = roles.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("key"), F.col("l_suppkey").alias("image_id"), F.col("l_partkey").alias("feature_index")
     )
-    groups = links(spark, sf).groupBy(F.col("src").alias("key")).agg(F.min("dst").alias("group_key"))
+    obs = merge.shared_observations(obs)
+    groups = links(spark, sf, obs).groupBy(F.col("src").alias("key")).agg(F.min("dst").alias("group_key"))
     return pts, obs, groups
 
 
