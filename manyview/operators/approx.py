@@ -7,13 +7,15 @@ behind the cuts it is nearest to (least total distance to the cuts first); how m
 ``checks``, the rows to be compared in each table. Everything found is compared by exact
 distances, ties go to the smaller id, and only the k best of a bucket leave it.
 
-Rows meet by (table, bucket). A bucket of more than ``CELL_ROWS`` rows or queries (skewed
-data; copies are collapsed before) is cut into blocks, so no task holds more. What
-reaches the driver is the sample of ``SAMPLE`` rows. A query gives at most tables * probes lists.
+Rows meet by (table, bucket) inside pairs of blocks of ``CELL_ROWS`` rows, whatever the size of a
+bucket (copies are collapsed before). Every vector is written once, instead of once a table and probe,
+and read again from there; every block of queries reads every block of rows, of which it compares only the rows
+in its buckets. What reaches the driver is the sample of ``SAMPLE`` rows. A query gives a list for each part of the corpus.
 """
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .knn import Search, _sample, _schema
+from . import knn
+from .knn import Search, _Nearest, _sample, _schema
 
 SAMPLE = 4096
 CELL_ROWS = 4096
@@ -40,7 +43,7 @@ def bucketed(tables: int = 8, bucket: int = 64, checks: int = 512, seed: int = 7
         cuts = int(np.ceil(np.log2(max(1.0, head["n"] / bucket))))
         planes = _planes(_sample(c, SAMPLE), tables, cuts, seed)
         probes = min(max(1, -(-checks // bucket)), 2 ** min(cuts, FLIPS))
-        return _search(q.withColumnRenamed("rep", "qrep"), c, k, planes, probes)
+        return _search(q, c, head["n"], head["dim"], k, planes, probes)
 
     return search
 
@@ -57,10 +60,6 @@ def _planes(sample: np.ndarray, tables: int, cuts: int, seed: int) -> list[tuple
     return out
 
 
-def _stack(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
-
-
 def codes(x: np.ndarray, plane: tuple[np.ndarray, np.ndarray], probes: int) -> np.ndarray:
     """(row, probe) bucket numbers: the own bucket, then those behind the nearest cuts."""
     way, place = plane
@@ -77,76 +76,37 @@ def codes(x: np.ndarray, plane: tuple[np.ndarray, np.ndarray], probes: int) -> n
     return own[:, None] ^ np.take_along_axis(flip, best, 1)
 
 
-def _placed(df: DataFrame, key: str, planes: list, probes: int) -> DataFrame:
-    """(cell, key, vec): every row in its bucket of each table, or in several."""
-    kind, vec = (df.schema[x].dataType.simpleString() for x in (key, "vec"))
-
-    def run(batches):
-        for b in batches:
-            x = _stack(b.column("vec"))
-            for t, plane in enumerate(planes):
-                code = codes(x, plane, probes)
-                row = pa.array(np.repeat(np.arange(len(x)), code.shape[1]))
-                cell = pa.array(code.ravel() * len(planes) + t)
-                yield pa.RecordBatch.from_arrays([cell, b.column(key).take(row), b.column("vec").take(row)], ["cell", key, "vec"])
-
-    return df.select(key, "vec").mapInArrow(run, f"cell long, {key} {kind}, vec {vec}")
-
-
-def _nearest(k: int, q_type: pa.DataType, c_type: pa.DataType):
-    """Kernel of a block: per query the k nearest rows as lists."""
-
-    def kernel(q: pa.Table, c: pa.Table) -> pa.Table:
-        names = ["qrep", "creps", "dists"]
-        if not (q.num_rows and c.num_rows):
-            return pa.table([pa.array([], q_type), pa.array([], pa.list_(c_type)), pa.array([], pa.list_(pa.float64()))], names)
-        c = c.sort_by("rep")
-        a, b = (_stack(t.column("vec").combine_chunks()) for t in (q, c))
-        norm, kk = (b * b).sum(1), min(k, len(b))
-        picked = np.empty((len(a), kk), np.int64)
-        dist = np.empty((len(a), kk))
-        for s in range(0, len(a), 512):
-            part = a[s : s + 512]
-            rough = norm - 2.0 * (part @ b.T)
-            # A few more than k by rounded distances, then exact ones decide.
-            more = min(len(b), kk + 8)
-            near = np.sort(np.argpartition(rough, more - 1, axis=1)[:, :more], axis=1)
-            exact = np.sqrt(((part[:, None, :] - b[near]) ** 2).sum(2))
-            order = np.argsort(exact, axis=1, kind="stable")[:, :kk]
-            picked[s : s + 512] = np.take_along_axis(near, order, 1)
-            dist[s : s + 512] = np.take_along_axis(exact, order, 1)
-        at = pa.array(np.arange(0, len(a) * kk + 1, kk), pa.int32())
-        lists = lambda v: pa.ListArray.from_arrays(at, v)
-        reps = c.column("rep").combine_chunks().take(pa.array(picked.ravel()))
-        return pa.table([q.column("qrep"), lists(reps), lists(pa.array(dist.ravel()))], names)
-
-    return kernel
-
-
-def _search(q: DataFrame, c: DataFrame, k: int, planes: list, probes: int) -> DataFrame:
-    asked, held = _placed(q, "qrep", planes, probes), cut(_placed(c, "rep", planes, 1))
-    large = lambda df, name: (
-        df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL_ROWS)).cast("int").alias(name)).filter(F.col(name) > 1)
-    )
-    asked = cut(asked)
-    blocks = large(asked, "qn").join(large(held, "cn"), "cell", "full")
-    own = lambda df, key, n: F.pmod(F.xxhash64(key), F.coalesce(F.col(n), F.lit(1)).cast("long")).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
-    left = asked.join(blocks, "cell", "left").withColumn("qb", own(asked, "qrep", "qn")).withColumn("cb", every("cn"))
-    right = held.join(blocks, "cell", "left").withColumn("cb", own(held, "rep", "cn")).withColumn("qb", every("qn"))
-    keys = ["cell", "qb", "cb"]
-    q_kind, c_kind = q.schema["qrep"].dataType.simpleString(), c.schema["rep"].dataType.simpleString()
-    kernel = _nearest(k, _arrow_type(q, "qrep"), _arrow_type(c, "rep"))
-    found = left.select(*keys, "qrep", "vec").groupBy(*keys).cogroup(right.select(*keys, "rep", "vec").groupBy(*keys)).applyInArrow(
-        kernel, f"qrep {q_kind}, creps array<{c_kind}>, dists array<double>"
-    )
-    # Lists of one query, k each; a row met in several tables counts once.
-    lists = found.groupBy("qrep").agg(F.flatten(F.collect_list(F.arrays_zip(F.col("dists").alias("dist"), F.col("creps").alias("crep")))).alias("all"))
-    best = F.slice(F.array_sort(F.array_distinct("all")), 1, k)
-    return lists.select("qrep", F.explode(best).alias("e")).select("qrep", F.col("e.crep").alias("crep"), F.col("e.dist").alias("dist"))
-
-
-def _arrow_type(df: DataFrame, name: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(df.schema[name].dataType)
+class _InBuckets(_Nearest):
+    """The k nearest found for a block of queries among the rows in their buckets."""
+
+    def __init__(self, ids: pa.Array, x: np.ndarray, k: int, planes: list, probes: int):
+        super().__init__(ids, x, k)
+        self.planes, self.asked = planes, [codes(x, plane, probes) for plane in planes]
+
+    def meet(self, ids: np.ndarray, y: np.ndarray) -> None:
+        filed = []
+        for plane in self.planes:
+            code = codes(y, plane, 1)[:, 0]
+            order = np.argsort(code, kind="stable")
+            held, first = np.unique(code[order], return_index=True)
+            filed.append((order, held, first, np.diff(np.append(first, len(y)))))
+        for s in range(0, len(self.x), knn.QUERY_STEP):
+            part = len(self.x[s : s + knn.QUERY_STEP])
+            # A row met in several tables counts once.
+            met = np.zeros(part * len(y), dtype=bool)
+            for asked, (order, held, first, size) in zip(self.asked, filed, strict=True):
+                code = asked[s : s + part]
+                at = np.minimum(np.searchsorted(held, code.ravel()), len(held) - 1)
+                hit = np.flatnonzero(held[at] == code.ravel())
+                at = at[hit]
+                within = np.arange(size[at].sum()) - np.repeat(np.cumsum(size[at]) - size[at], size[at])
+                met[np.repeat(hit // code.shape[1] * len(y), size[at]) + order[np.repeat(first[at], size[at]) + within]] = True
+            row, col = np.divmod(np.flatnonzero(met), len(y))
+            self.measure(row + s, col, ids, y)
+
+
+def _search(q: DataFrame, c: DataFrame, n: int, dim: int, k: int, planes: list, probes: int) -> DataFrame:
+    one = lambda df, rows: cut(knn.in_blocks(df, np.zeros((1, dim)), np.array([rows]), CELL_ROWS))
+    held = one(c, n)
+    asked = held if q is c else one(q, q.count())
+    return knn.meet_blocks(asked, held, None, (q, c), n, dim, k, partial(_InBuckets, planes=planes, probes=probes), _schema(q, c))

@@ -73,3 +73,25 @@ def test_floor_searches_once(spark, monkeypatch):
     for i, found in nearest(x, x, 7).items():
         want |= {(i, j) for d, j in found if j != i and j % 7 != i % 7 and d <= round(0.9 * found[6][0], 9)}
     assert {(r["seed"], r["cand"]) for r in out.collect()} == want
+
+
+def test_buckets_compare_what_they_hold(spark, small, monkeypatch):
+    """Blocks and parts of any size compare a query with the rows of its buckets in all tables, each once, and no vector is copied for a table."""
+    from manyview.operators import approx
+
+    monkeypatch.setattr(approx, "CELL_ROWS", 60)
+    x = np.random.default_rng(4).normal(size=(500, 10))
+    x[:150] = x[0] + np.random.default_rng(5).random((150, 1))
+    df = frame(spark, x, "double")
+    out = knn.self_knn(df, 6, "id", "v", include_self=True, search=approx.bucketed(tables=3, bucket=16, checks=64))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan
+    c = df.selectExpr("id AS rep", "v AS vec")
+    planes = approx._planes(knn._sample(c, approx.SAMPLE), 3, int(np.ceil(np.log2(500 / 16))), 7)
+    probes = [(approx.codes(x, p, 4), approx.codes(x, p, 1)[:, 0]) for p in planes]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    want = {}
+    for i in range(len(x)):
+        met = np.any([np.isin(held, asked[i]) for asked, held in probes], axis=0)
+        want[i] = sorted((round(d[i, j], 9), int(j)) for j in np.flatnonzero(met))[:6]
+    assert lists(out, "row", "nn") == want
