@@ -138,7 +138,7 @@ agg AS (SELECT p, q, count(*) AS shared, count(CASE WHEN ratio BETWEEN 1 AND 10
 
 
 def adjacency_input(spark, sf):
-    o = roles.obs(spark, sf).select("point_id", "image_id", "x", "y")
+    o = roles.obs(spark, sf, last="y").select("point_id", "image_id", "x", "y")
     p = roles.points(spark, sf).filter("w <> 0").select("point_id", *[F.col(c).alias(f"p{c}") for c in "xyz"])
     c = metrics.with_centers(roles.images(spark, sf)).select("image_id", "cx", "cy", "cz")
     d = V.norm(V.sub(V.vec("px", "py", "pz"), V.vec("cx", "cy", "cz")))

@@ -110,22 +110,23 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
     return raw.select("point_id", *unit, "w", "error")
 
 
-def obs(spark: SparkSession, sf: str) -> DataFrame:
-    pick = F.min(
-        F.struct(
-            F.col("l_linenumber").alias("ln"),
-            F.col("l_partkey").alias("feature_index"),
-            (F.col("l_quantity") * 20.0).alias("x"),
-            (F.col("l_extendedprice") / 125.0).alias("y"),
-            F.col("l_discount").alias("residual"),
-            (F.col("l_extendedprice") / 1000.0).alias("depth"),
-        )
-    ).alias("s")
+def obs(spark: SparkSession, sf: str, last: str = "depth") -> DataFrame:
+    """The first row of each point and image; columns after ``last`` are left out, which changes no other."""
+    fields = {
+        "ln": F.col("l_linenumber"),
+        "feature_index": F.col("l_partkey"),
+        "x": F.col("l_quantity") * 20.0,
+        "y": F.col("l_extendedprice") / 125.0,
+        "residual": F.col("l_discount"),
+        "depth": F.col("l_extendedprice") / 1000.0,
+    }
+    names = list(fields)[: list(fields).index(last) + 1]
+    pick = F.min(F.struct(*[fields[n].alias(n) for n in names])).alias("s")
     return (
         table(spark, sf, "lineitem")
         .groupBy(F.col("l_orderkey").alias("point_id"), F.col("l_suppkey").alias("image_id"))
         .agg(pick)
-        .select("point_id", "image_id", "s.feature_index", "s.x", "s.y", "s.residual", "s.depth")
+        .select("point_id", "image_id", *[f"s.{n}" for n in names[1:]])
     )
 
 
